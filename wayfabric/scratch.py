@@ -6,8 +6,10 @@ is absent (tests, a laptop) is a temporary folder made and used.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,15 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that workers can import it."""
+    app = f"ship-{spark.sparkContext.applicationId}"
+    if app not in _LOCAL:
+        package = Path(__file__).resolve().parent
+        if package.is_dir():
+            stem = Path(tempfile.mkdtemp(prefix="wayfabric-ship-")) / "wayfabric_package"
+            made = shutil.make_archive(str(stem), "zip", root_dir=package.parent, base_dir=package.name)
+            spark.sparkContext.addPyFile(made)
+        _LOCAL[app] = "sent"
