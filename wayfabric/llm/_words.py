@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 500_000
 
 
 class WordCache(dict):
-    """A dict from word to value, filled by a batch function and emptied when it grows too large.
+    """A dict from word to value, filled by a batch function, in two generations.
 
-    The bound keeps a worker's memory independent of the vocabulary; a refill only costs time.
+    When the young generation is full it becomes the old one; words found there move back. The
+    bound keeps a worker's memory independent of the vocabulary, and frequent words stay known.
     """
 
     def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = CACHE_LIMIT):
         super().__init__()
         self._compute, self._limit = compute, limit
+        self._old: dict = {}
 
     def ensure(self, words: set) -> None:
         """Make sure that every word of ``words`` has a value."""
@@ -23,6 +25,15 @@ class WordCache(dict):
         if not missing:
             return
         if len(self) + len(missing) > self._limit:
+            self._old = dict(self)
             self.clear()
             missing = list(words)
-        self.update(zip(missing, self._compute(missing), strict=True))
+        old = self._old
+        new = []
+        for w in missing:
+            if w in old:
+                self[w] = old[w]
+            else:
+                new.append(w)
+        if new:
+            self.update(zip(new, self._compute(new), strict=True))

@@ -35,3 +35,44 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfabric.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels outside the held-out fold."""
+    from wayfabric.llm.quality_classifier import classify, learn
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = learn(docs, labels.where(fold != 0))
+    held = F.coalesce(fold == 0, F.lit(True)).alias("held_out")
+    return classify(docs, model).select("doc_id", held, "score", "predicted")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from languages outside the held-out fold."""
+    from wayfabric.llm.lang_id import identify, learn, train_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(train_rows(docs))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    held = F.coalesce(fold == 2, F.lit(True)).alias("held_out")
+    return identify(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line chain's verdict for every document."""
+    from wayfabric.llm.quality_rules import apply_rules, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, learn(docs))
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of at most 4096 tokens."""
+    from wayfabric.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
