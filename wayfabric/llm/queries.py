@@ -201,3 +201,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
     return out.select(F.col("did").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and retention of every embedding at cosine 0.93 within its label."""
+    from wayfabric.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
