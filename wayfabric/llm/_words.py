@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 
 CACHE_LIMIT = 500_000
 
@@ -19,8 +19,8 @@ class WordCache(dict):
         self._compute, self._limit = compute, limit
         self._old: dict = {}
 
-    def ensure(self, words: set) -> None:
-        """Make sure that every word of ``words`` has a value."""
+    def ensure(self, words: Collection) -> None:
+        """Make sure that every word of ``words`` (each named once) has a value."""
         missing = [w for w in words if w not in self]
         if not missing:
             return
