@@ -15,22 +15,21 @@ first. Very long texts are labelled whole. Repeated rows repeat their result.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfabric.llm._words import WordCache
-
-BUCKETS = 1 << 16
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
+#: Rows whose words are coded together.
+ROWS = 1000
 PENALTY = 12.0
 SMOOTHING = 0.5
 LEAST_SCRIPT_SHARE = 0.01
-FLUSH_WORDS = 200_000
 # First code points of blocks and the script written from there on.
 SCRIPT_RANGES = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -45,64 +44,84 @@ _SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
-def script_of(word: str) -> int:
-    """Index in SCRIPTS of a word's first letter."""
-    return int(_SCRIPT_OF[np.searchsorted(_STARTS, ord(word[0]), side="right") - 1])
-
-
-def features(word: str) -> list[int]:
-    """Buckets of a word's character 1- to 3-grams and of the word itself; then its script's bucket."""
-    marked = f"^{word}$".encode("utf-8", "replace")
-    crc = zlib.crc32
-    out = [crc(marked) % BUCKETS]
-    text = f"^{word}$"
-    for n in (1, 2, 3):
-        out += [crc(text[i : i + n].encode("utf-8", "replace"), n) % BUCKETS for i in range(n == 1, len(text) - n + (n > 1))]
-    return out
-
-
 def letters(word: str) -> str:
     """A word's letters, lower case."""
     return "".join(_LETTERS(word)).lower()
 
 
-def _rows(lang: str, seen: Counter, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
-    cache.ensure(set(seen))
-    parts = [cache[w] for w in seen]
-    weight = np.repeat(np.fromiter(seen.values(), dtype=np.int64), [len(p) for p in parts])
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-    total = np.bincount(flat, weights=weight, minlength=BUCKETS + len(SCRIPTS)).astype(np.int64)
-    at = np.flatnonzero(total)
-    return at, total[at]
-
-
-def _word_arrays(words: list[str]) -> list[np.ndarray]:
-    out = []
-    for w in words:
-        core = letters(w)
-        out.append(np.array([*features(core), BUCKETS + script_of(core)] if core else [], dtype=np.int32))
-    return out
+def scripts_of(cores: list[str]) -> np.ndarray:
+    """Index in SCRIPTS of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in cores), dtype=np.int64, count=len(cores))
+    return _SCRIPT_OF[np.searchsorted(_STARTS, first, side="right") - 1]
+
+
+def features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its marked form's 1- to 3-grams and the form itself, hashed: (word numbers, buckets)."""
+    code = np.frombuffer("".join(f"^{w}$" for w in cores).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = np.fromiter(map(len, cores), dtype=np.int64, count=len(cores)) + 2
+    owner = np.repeat(np.arange(len(cores)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        k1, k2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+        grams, owners = [], []
+        key = code
+        for n in (1, 2, 3):
+            if n > 1:
+                key = key[:-1] * k1 + code[n - 1 :]
+            inside = owner[: len(key)] == owner[n - 1 :]
+            grams.append(_scramble(key[inside] * k2 + np.uint64(n)))
+            owners.append(owner[: len(key)][inside])
+        whole = np.zeros(len(cores), dtype=np.uint64)
+        np.add.at(whole, owner, _scramble(code * k1 + place.astype(np.uint64)))
+        grams.append(_scramble(whole))
+        owners.append(np.arange(len(cores)))
+    return np.concatenate(owners), (np.concatenate(grams) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The lettered words of all texts as codes, the words' letters, and each text's end in the codes."""
+    words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+    coded = words.flatten().dictionary_encode()
+    cores = [letters(w) for w in coded.dictionary.to_pylist()]
+    lettered = np.fromiter(map(bool, cores), dtype=bool, count=len(cores))
+    number = np.cumsum(lettered) - 1
+    code = coded.indices.to_numpy()
+    keep = lettered[code]
+    return number[code[keep]], [c for c in cores if c], np.r_[0, np.cumsum(keep)][ends]
 
 
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit a model on all rows of ``train``; what reaches the driver is bounded by languages x buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordCache(_word_arrays, 100_000), {}
-
-        def flush(lang: str) -> pa.RecordBatch:
-            at, n = _rows(lang, seen.pop(lang), cache)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"]
-            )
-
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(text.split())
-                if len(seen[lang]) > FLUSH_WORDS:
-                    yield flush(lang)
-        for lang in list(seen):
-            yield flush(lang)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                code, cores, ends = coded_words(part.column(0))
+                if not cores:
+                    continue
+                langs = np.array(part.column(1).to_pylist(), dtype=object)
+                names, which = np.unique(langs.astype(str), return_inverse=True)
+                of_word = np.repeat(which, np.diff(np.r_[0, ends]))
+                owner, bucket = features(cores)
+                script = BUCKETS + scripts_of(cores)
+                for k, name in enumerate(names.tolist()):
+                    seen = np.bincount(code[of_word == k], minlength=len(cores))
+                    new = np.bincount(bucket, weights=seen[owner], minlength=BUCKETS + len(SCRIPTS))
+                    new += np.bincount(script, weights=seen, minlength=len(new))
+                    total[name] = total.get(name, 0) + new.astype(np.int64)
+        for name, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"]
+            )
 
     rows = (
         train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -128,44 +147,26 @@ class LanguageModel:
         self.log_p = np.log((grams + SMOOTHING) / (total + SMOOTHING * BUCKETS)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.writes = share >= LEAST_SCRIPT_SHARE
-        self._cache: WordCache | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": None}
-
-    def word_scores(self, words: list[str]) -> list[np.ndarray | None]:
-        """Log likelihoods over the languages; None for a word without letters."""
-        out: list[np.ndarray | None] = []
-        for w in words:
-            core = letters(w)
-            if not core:
-                out.append(None)
-                continue
-            score = self.log_p[:, features(core)].sum(axis=1)
-            may = self.writes[:, script_of(core)]
-            if not may.any():
-                score[:] = 0
-            elif not may.all():
-                score[~may] = score[may].min() - 4 * PENALTY
-            out.append(score - score.max())
-        return out
+
+    def word_scores(self, cores: list[str]) -> np.ndarray:
+        """Log likelihoods (words x languages) less each word's best; languages of other scripts lose."""
+        out = np.zeros((len(cores), len(self.langs)), dtype=np.float32)
+        for at in range(0, len(cores), 20_000):
+            part = cores[at : at + 20_000]
+            owner, bucket = features(part)
+            for k in range(len(self.langs)):
+                out[at : at + len(part), k] = np.bincount(owner, weights=self.log_p[k][bucket], minlength=len(part))
+        may = self.writes[:, scripts_of(cores)].T
+        known = may.any(axis=1)
+        low = np.where(may, out, np.inf).min(axis=1, initial=np.inf) - 4 * PENALTY
+        out = np.where(may, out, np.where(known, low, 0)[:, None])
+        out[~known] = 0
+        return out - out.max(axis=1, keepdims=True)
 
     def table(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each text its lettered words as rows of the score matrix."""
-        if self._cache is None:
-            self._cache = WordCache(self.word_scores, 150_000)
-        split = [t.split() for t in texts]
-        uniq = set().union(*split) if split else set()
-        self._cache.ensure(uniq)
-        row, rows = {}, []
-        for w in uniq:
-            s = self._cache[w]
-            if s is not None:
-                row[w] = len(rows)
-                rows.append(s)
-        get = row.get
-        index = [np.array([i for i in map(get, s) if i is not None], dtype=np.int64) for s in split]
-        return index, np.array(rows, dtype=np.float64).reshape(-1, len(self.langs))
+        code, cores, ends = coded_words(pa.array(texts, pa.string()))
+        return np.split(code, ends[:-1]) if len(ends) else [], self.word_scores(cores) if cores else np.zeros((0, len(self.langs)))
 
     def label(self, texts: list[str], penalty: float = PENALTY) -> list[np.ndarray]:
         """For each text the language index of each lettered word, by Viterbi."""
@@ -178,7 +179,7 @@ class LanguageModel:
                 out[i] = np.zeros(0, dtype=np.int64)
                 continue
             best = int(s.sum(axis=0).argmax())
-            gain = np.cumsum(s - s[:, best : best + 1], axis=0)
+            gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
             low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
             low = np.vstack([np.zeros((1, s.shape[1])), low[:-1]])
             # no stretch of words gains half a switch by another label: the whole text keeps one
@@ -257,8 +258,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 names, scores = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"]
