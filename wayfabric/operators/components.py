@@ -11,6 +11,9 @@ a large share of the edges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +37,14 @@ def components_of_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
         known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     nodes = spark_read(spark, state)
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         large = _star(spark_read(spark, state), both_ways=True)
         small = _star(spark_read(spark, large), both_ways=False)
         before, after = _signature(spark_read(spark, state)), _signature(spark_read(spark, small))
         discard(spark, large)
         if before == after:
             break
-        if _ != 0:
+        if turn:
             discard(spark, state)
         state = small
     else:
@@ -83,9 +86,42 @@ def _signature(state: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node_id", a: str = "a", b: str = "b") -> DataFrame:
-    """Rows (``node``, component) for all ``nodes``; a node without edges is its own component."""
-    found = components_of_edges(edges, a, b)
+#: Edges up to which one task contracts them all; counted before the choice is made.
+ONE_TASK = 50_000
+
+
+def small_components(edges: DataFrame) -> DataFrame:
+    """Rows (node, component) of a counted, small edge table (a, b), by union-find in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]}, dtype="int64")
+
+    return edges.select("a", "b").coalesce(1).mapInPandas(run, "node long, component long")
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node_id", a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
+    """Rows (``node``, component) for all ``nodes``; a node without edges is its own component.
+
+    Edge tables of at most ``one_task`` rows (counted) are contracted in one task, larger ones by stars.
+    """
+    links = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
+    few = links.limit(one_task + 1).count() <= one_task
+    found = small_components(links) if few else components_of_edges(links)
     return nodes.select(node).join(found.withColumnRenamed("node", node), node, "left").select(
         node, F.coalesce("component", F.col(node).cast("long")).alias("component")
     )
