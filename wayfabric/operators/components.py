@@ -36,17 +36,18 @@ def components_of_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
     state = write_scratch(
         known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    nodes = spark_read(spark, state)
+    nodes, before = spark_read(spark, state), None
     for turn in range(MAX_ROUNDS):
         large = _star(spark_read(spark, state), both_ways=True)
         small = _star(spark_read(spark, large), both_ways=False)
-        before, after = _signature(spark_read(spark, state)), _signature(spark_read(spark, small))
+        after = _signature(spark_read(spark, small))
         discard(spark, large)
-        if before == after:
-            break
         if turn:
             discard(spark, state)
         state = small
+        if before == after:
+            break
+        before = after
     else:
         raise RuntimeError("components did not converge")
     roots = spark_read(spark, state)

@@ -6,9 +6,12 @@ is absent (tests, a laptop) is a temporary folder made and used.
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +54,37 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended, by collecting the driver's garbage.
+
+    Between the steps of a long operator, so that the disk holds the largest step, not their sum.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def join_filters(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark may filter the large side of a shuffled join by a Bloom filter of the small side's keys.
+
+    Spark builds the filter itself, at a fixed largest size, where the small side has a selective predicate;
+    by default it does so for scans over 10 GB only.
+    """
+    wanted = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it."""
     app = f"ship-{spark.sparkContext.applicationId}"
