@@ -269,6 +269,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return picked.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language and whose spans of it hold at least ``least_share`` of the words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                names, scores = shared.value.predict(part.column(at).to_pylist())
+                keep = [n != "und" and s >= least_share for n, s in zip(names, scores, strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_rows(docs: DataFrame, id_col: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:
     """Rows that may teach: those whose id's checksum leaves another remainder than ``held``."""
     return docs.where(F.crc32(F.col(id_col).cast("string")) % folds != held)
