@@ -275,3 +275,54 @@ def test_streamed_rates_equal_batch(spark, tmp_path):
     q.stop()
     got = {(r["start"], r["kind"], r["n"]) for r in spark.table("rates").collect()}
     assert got == {(r["start"], r["kind"], r["n"]) for r in closure_rates(events).collect()}
+
+
+def test_network_scores_tiles(spark, tmp_path):
+    from wayfabric.operators import network, tiles
+    from wayfabric.sources.synthetic import training_tile
+
+    weights = network.random_weights(base=4, seed=1)
+    np.savez(tmp_path / "w.npz", **weights)
+    image, mask = training_tile(40, 3)
+    assert 0 < mask.mean() < 1
+    p = network.scorer(weights)(image)
+    assert p.shape == (40, 40) and ((p > 0) & (p < 1)).all()
+    pixels_ = [(0, y, x, *map(int, image[y, x])) for y in range(40) for x in range(40)]
+    df = spark.createDataFrame(pixels_, "img_id long, y int, x int, r int, g int, b int")
+    meta = spark.createDataFrame([(0, 40, 40)], "img_id long, h int, w int")
+    whole = tiles.mosaic(tiles.score_tiles(df, meta, tiles.load_scorer(str(tmp_path / "w.npz")), 40, 0)).toPandas()
+    assert np.allclose(whole.sort_values(["y", "x"])["p"].to_numpy().reshape(40, 40), p, atol=1e-5)
+    parts = tiles.mosaic(tiles.score_tiles(df, meta, tiles.load_scorer(str(tmp_path / "w.npz")), 16, 4))
+    assert parts.count() == 1600
+    np.savez(tmp_path / "bad.npz", x=np.zeros(1))
+    with pytest.raises(ValueError):
+        network.load(str(tmp_path / "bad.npz"))
+    with pytest.raises(FileNotFoundError):
+        tiles.load_scorer(str(tmp_path / "none.npz"))
+
+
+def test_convolution_against_direct_sums():
+    from wayfabric.operators.network import conv, resize
+
+    rng = np.random.default_rng(0)
+    x, k = rng.normal(size=(2, 6, 7)).astype(np.float32), rng.normal(size=(3, 2, 3, 3)).astype(np.float32)
+    for d in (1, 2):
+        got = conv(x, k, d)
+        for o, y, z in ((0, 0, 0), (2, 3, 4), (1, 5, 6)):
+            want = sum(
+                k[o, c, i, j] * x[c, y + d * (i - 1), z + d * (j - 1)]
+                for c in range(2) for i in range(3) for j in range(3)
+                if 0 <= y + d * (i - 1) < 6 and 0 <= z + d * (j - 1) < 7
+            )
+            assert abs(got[o, y, z] - want) < 1e-4
+    assert np.allclose(resize(np.ones((1, 3, 3), np.float32), 7, 5), 1)
+
+
+def test_training_tiles_keep_masks_in_step(spark):
+    from wayfabric.operators.tiles import occlude_tiles
+    from wayfabric.sources.synthetic import training_tiles
+
+    made = training_tiles(spark, 6, 32)
+    again = occlude_tiles(made).collect()
+    before = {r["tile_id"]: np.frombuffer(r["mask"], np.uint8).sum() for r in made.collect()}
+    assert {r["tile_id"]: np.frombuffer(r["mask"], np.uint8).sum() for r in again} == before

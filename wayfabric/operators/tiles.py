@@ -67,13 +67,17 @@ def score_tiles(pixels: DataFrame, meta: DataFrame, scorer: Callable[[np.ndarray
 
 
 def load_scorer(weights: str) -> Callable[[np.ndarray], np.ndarray]:
-    """Scorer from an ONNX file of the segmentation network.
+    """Scorer of the segmentation network from an ``.npz`` file of its weights or an ONNX export.
 
-    RuntimeError without the runtime, FileNotFoundError without the file. Sessions are made once per worker.
+    FileNotFoundError without the file, RuntimeError for an export without the runtime. Sessions are made once per worker.
     """
     import importlib.util
     import os
 
+    if weights.endswith(".npz"):
+        from wayfabric.operators.network import load
+
+        return load(weights)
     if importlib.util.find_spec("onnxruntime") is None:
         raise RuntimeError("tile scoring needs onnxruntime")
     if not os.path.exists(weights):
