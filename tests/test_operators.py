@@ -326,3 +326,17 @@ def test_training_tiles_keep_masks_in_step(spark):
     again = occlude_tiles(made).collect()
     before = {r["tile_id"]: np.frombuffer(r["mask"], np.uint8).sum() for r in made.collect()}
     assert {r["tile_id"]: np.frombuffer(r["mask"], np.uint8).sum() for r in again} == before
+
+
+def test_training_pairs_are_cut_from_images(spark):
+    from wayfabric.sources.synthetic import training_pairs
+
+    meta = spark.createDataFrame([(0, 20, 20)], "img_id long, h int, w int")
+    rows = [(0, y, x, y, x, 7) for y in range(20) for x in range(20)]
+    df = spark.createDataFrame(rows, "img_id long, y int, x int, r int, g int, b int")
+    mask = spark.createDataFrame([(0, 9, x) for x in range(20)], "img_id long, y int, x int")
+    out = training_pairs(df, mask, meta, tile=8, step=6).orderBy("tile_id").collect()
+    assert len(out) == 3  # of the tiles from rows 0, 6 and 12 only the second holds row 9
+    image = np.frombuffer(out[0]["img"], np.uint8).reshape(8, 8, 3)
+    truth = np.frombuffer(out[0]["mask"], np.uint8).reshape(8, 8)
+    assert image[0, 0].tolist()[2] == 7 and truth.sum() == 8

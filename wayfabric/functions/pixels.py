@@ -96,3 +96,23 @@ def lonlat_of_pixel(px: Column, py: Column, bounds: tuple[float, float, float, f
 def over(probability: Column, threshold: float = 0.5) -> Column:
     """Strict probability threshold."""
     return probability > threshold
+
+
+def resample(band: DataFrame, meta: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:
+    """Rows (img_id, y, x, v): a dense raster resampled bilinearly by pixel centres to a new size.
+
+    Each new pixel asks for its four neighbours (edges repeat), which is one equi-join and one aggregate.
+    """
+
+    def axis(c: str, size: str, new: int) -> tuple[Column, Column, Column]:
+        at = F.greatest(F.lit(0.0), F.least((F.col(c) + 0.5) * F.col(size) / new - 0.5, F.col(size) - F.lit(1.0)))
+        low = F.floor(at).cast("int")
+        return low, F.least(low + 1, F.col(size) - 1), at - low
+
+    grid = meta.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    y0, y1, fy = axis("y", "h", height)
+    x0, x1, fx = axis("x", "w", width)
+    corners = F.array(*[F.struct(a.alias("sy"), b.alias("sx"), (p * q).alias("k")) for a, p in ((y0, 1 - fy), (y1, fy)) for b, q in ((x0, 1 - fx), (x1, fx))])
+    asked = grid.select("img_id", "y", "x", F.explode(corners).alias("c")).select("img_id", "y", "x", "c.sy", "c.sx", "c.k")
+    source = band.select("img_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("v"))
+    return asked.join(source, ["img_id", "sy", "sx"]).groupBy("img_id", "y", "x").agg(F.sum(F.col("v") * F.col("k")).alias("v"))

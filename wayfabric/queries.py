@@ -667,3 +667,64 @@ def synthetic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.createDataFrame([(0, 160, 312)], "img_id long, h int, w int")
     segments = spark.createDataFrame([(0, *s) for s in road_grid(160, 312)], "img_id long, x0 int, y0 int, x1 int, y1 int")
     return raster.rasterise_segments(segments, meta, 6.0).select("y", "x")
+
+
+# ---- further operators ----------------------------------------------------------------------
+
+
+@query(f"""with {CELL}, {META}, g as (select y, x, greatest(0.0e0, least((y+0.5e0)*h/100-0.5e0, h-1)) as sy, greatest(0.0e0, least((x+0.5e0)*w/40-0.5e0, w-1)) as sx
+  from (select unnest(range(100)) as y), (select unnest(range(40)) as x), meta), p as (select *, floor(sy) as fy, floor(sx) as fx from g),
+k as (select y, x, fy as ay, fx as ax, (1-(sy-fy))*(1-(sx-fx)) as k from p union all select y, x, fy, least(fx+1, 63), (1-(sy-fy))*(sx-fx) from p
+  union all select y, x, least(fy+1, h-1), fx, (sy-fy)*(1-(sx-fx)) from p, meta union all select y, x, least(fy+1, h-1), least(fx+1, 63), (sy-fy)*(sx-fx) from p, meta)
+select cast(k.y as int) as y, cast(k.x as int) as x, round(sum(k*v), 6) as v from k join cell c on c.y=ay and c.x=ax group by k.y, k.x""")
+def band_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band resampled bilinearly to 100 by 40."""
+    return px.resample(fx.cells(spark, sf_dir), fx.raster_meta(spark, sf_dir), 100, 40).select("y", "x", r6("v"))
+
+
+@query(f"with {GRAPH} select a, b, w from geo_edges where a%7<>0 and b%7<>0")
+def node_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges left when every seventh node is gone."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.without_nodes(edges, nodes.where("node_id % 7 = 0")).select("a", "b", "w")
+
+
+@query(f"with {GRAPH} select a, b, w from geo_edges where a%3=0 and b%3=0")
+def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between every third node."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.induced(nodes.where("node_id % 3 = 0"), edges).select("a", "b", "w")
+
+
+@query(f"with recursive {GRAPH}, {_STRESS.replace('{draws}', str(2 * PAIRS))} select pair_id, src, dst from pairs")
+def connected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pairs that are connected."""
+    return ablation.connected_pairs(*_core(spark, sf_dir), PAIRS, 2 * PAIRS)
+
+
+@query(f"""with recursive {GRAPH}, {LCC}, {dist("select node_id as s from core where node_id%10=0")}
+select round(avg(d), 4) as avg_path_len, count(*) as pairs from dist where t in (select node_id from core where node_id%10=0) and s<t""")
+def mean_path_on_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance between every tenth node of the largest component."""
+    nodes, edges = _graph(spark, sf_dir)
+    some = nodes.where("node_id % 10 = 0").select("node_id")
+    pairs = some.select(F.col("node_id").alias("src")).join(some.select(F.col("node_id").alias("dst")), F.col("src") < F.col("dst"))
+    return ablation.mean_path_on_largest(nodes, edges, pairs, "w").select(r6("avg_path_len", 4), "pairs")
+
+
+@query(f"""with recursive {_CAND}, {_FOREST}, {_MATCH}, more as (select a, b, 'mst' as pass from forest union all select a, b, 'stub' from free join greedy using (n) where took)
+select a, b, pass, p.x as x0, p.y as y0, q.x as x1, q.y as y1 from more join geo_nodes p on p.node_id=a join geo_nodes q on q.node_id=b""")
+def healing_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plot-ready bridges of both passes."""
+    nodes, edges = _graph(spark, sf_dir)
+    return export.healing_overlay(nodes, heal.heal(nodes, edges, FIXTURE_HEAL)[1])
+
+
+@query()
+def recovered_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridges of the fixture graph drawn into an empty mask."""
+    nodes, edges = _graph(spark, sf_dir)
+    bridges = heal.heal(nodes, edges, FIXTURE_HEAL)[1]
+    meta = spark.createDataFrame([(0, 2000, 2000)], "img_id long, h int, w int")
+    none = spark.createDataFrame([], "img_id long, y int, x int")
+    return raster.recovered(none, meta, nodes, bridges).select("y", "x")

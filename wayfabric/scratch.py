@@ -6,6 +6,7 @@ is absent (tests, a laptop) is a temporary folder made and used.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import shutil
 import tempfile
@@ -37,11 +38,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def write_scratch(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under a fresh path of the shared folder and return the path."""
-    path = f"{scratch_dir(df.sparkSession)}/wayfabric/{uuid.uuid4().hex}/{name}"
+    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return path
 
 
+def _home(spark: SparkSession) -> str:
+    """This application's part of the scratch folder; deleted when the driver's interpreter ends."""
+    app = spark.sparkContext.applicationId
+    home = f"{scratch_dir(spark)}/wayfabric/{app}"
+    if f"home-{app}" not in _LOCAL:
+        _LOCAL[f"home-{app}"] = home
+        atexit.register(_leave, spark, home)
+    return home
+
+
+def _leave(spark: SparkSession, home: str) -> None:
+    if home.startswith("file:"):
+        shutil.rmtree(home.removeprefix("file://"), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:  # the application still runs
+        discard(spark, home)
+
+
 def spark_read(spark: SparkSession, path: str) -> DataFrame:
     """Scan a scratch table."""
     return spark.read.parquet(path)

@@ -64,3 +64,30 @@ def training_tiles(spark: SparkSession, count: int, size: int = 128, seed: int =
             yield pd.DataFrame({"tile_id": frame["id"], "size": size, "img": [a.tobytes() for a, _ in made], "mask": [m.astype(np.uint8).tobytes() for _, m in made]})
 
     return spark.range(count).mapInPandas(run, "tile_id long, size int, img binary, mask binary")
+
+
+def training_pairs(pixels: DataFrame, mask: DataFrame, meta: DataFrame, tile: int = 256, step: int = 192, least: float = 0.01, most: int = 400) -> DataFrame:
+    """Rows (tile_id, size, img, mask) cut from real images: the tiles of ``training_tiles`` with their pixels.
+
+    ``mask`` are roads drawn in the images' frame. A tile is one group of tile * tile pixels.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wayfabric.operators.tiles import in_tiles
+    from wayfabric.operators.tiles import training_tiles as chosen_tiles
+
+    chosen = chosen_tiles(mask, meta, tile, step, least, most)
+    order = Window.orderBy("img_id", "ty", "tx")  # at most ``most`` rows
+    numbered = chosen.select("img_id", "ty", "tx", (F.row_number().over(order) - 1).cast("long").alias("tile_id"))
+    rows = in_tiles(pixels, meta, tile, step, True).join(F.broadcast(numbered), ["img_id", "ty", "tx"])
+    flagged = rows.join(mask.select("img_id", "y", "x", F.lit(1).alias("t")), ["img_id", "y", "x"], "left")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        image, truth = np.zeros((tile, tile, 3), dtype=np.uint8), np.zeros((tile, tile), dtype=np.uint8)
+        y, x = (frame["y"] - frame["ty"]).to_numpy(), (frame["x"] - frame["tx"]).to_numpy()
+        image[y, x] = frame[["r", "g", "b"]].to_numpy()
+        truth[y, x] = frame["t"].fillna(0).to_numpy()
+        return pd.DataFrame({"tile_id": [frame["tile_id"].iloc[0]], "size": [tile], "img": [image.tobytes()], "mask": [truth.tobytes()]})
+
+    return flagged.groupBy("tile_id").applyInPandas(run, "tile_id long, size int, img binary, mask binary")
