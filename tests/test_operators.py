@@ -121,7 +121,8 @@ def test_three_components_need_two_bridges(spark):
     assert found == {(1, 2, "mst"), (3, 4, "mst")}
 
 
-def test_forest_and_matching_match_the_sorted_passes(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_forest_and_matching_match_the_sorted_passes(spark, one_task):
     rng = random.Random(11)
     for _ in range(2):
         cand = sorted({(rng.randrange(30), rng.randrange(30, 60)) for _ in range(60)})
@@ -135,7 +136,7 @@ def test_forest_and_matching_match_the_sorted_passes(spark):
                 want.add((a, b))
                 old, new = comp[a], comp[b]
                 comp = {n: new if c == old else c for n, c in comp.items()}
-        got = {(r["a"], r["b"]) for r in heal.spanning_bridges(df, labels).collect()}
+        got = {(r["a"], r["b"]) for r in heal.spanning_bridges(df, labels, one_task).collect()}
         assert got == want
         used = {0, 31, 32}
         match, taken = set(), set(used)
@@ -143,7 +144,7 @@ def test_forest_and_matching_match_the_sorted_passes(spark):
             if a not in taken and b not in taken:
                 match.add((a, b))
                 taken |= {a, b}
-        found = heal.stub_matching(df, spark.createDataFrame([(u,) for u in used], "node_id long"))
+        found = heal.stub_matching(df, spark.createDataFrame([(u,) for u in used], "node_id long"), one_task)
         assert {(r["a"], r["b"]) for r in found.collect()} == match
 
 
