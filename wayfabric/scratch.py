@@ -81,6 +81,16 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of ``rows``, unless the session already asks for fewer.
+
+    The default of 10,000 whole documents would hold tens of megabytes on both sides of each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def join_filters(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark may filter the large side of a shuffled join by a Bloom filter of the small side's keys.
