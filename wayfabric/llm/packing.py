@@ -38,7 +38,7 @@ from wayfabric.scratch import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Chunks that are tokenized in one call.
-JOINED = 4000
+JOINED = 400
 #: Lengths are rounded up to units of this many tokens while configurations are priced.
 UNIT = 16
 RATE = 0.25
