@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfabric.llm._words import lean
 from wayfabric.operators.components import components_of_edges
 from wayfabric.scratch import materialize
 
@@ -138,6 +139,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
 def _buckets(classes: DataFrame, depths: dict, tables: int, probes: int) -> DataFrame:
     """Rows (label key, width, table, code, cid, m, vec, codes[]), one per bucket of each class."""
 
+    @lean("embedding_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, m, lab = (batch.column(k) for k in range(3))
@@ -228,6 +230,7 @@ def _solve(dealt: DataFrame, probes: int, threshold: float, keys: list[str], two
                 out.append((int(ids[a]), 0, int(ids[b])))
         return out
 
+    @lean("embedding_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         last, found = None, []

@@ -23,6 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfabric.llm._words import lean
+from wayfabric.scratch import small_batches
+
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: Rows whose words are coded together.
@@ -98,7 +101,9 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit a model on all rows of ``train``; what reaches the driver is bounded by languages x buckets."""
+    small_batches(train.sparkSession)
 
+    @lean("lang_id")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -253,9 +258,11 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score) for every row of ``docs``; one narrow pass."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean("lang_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -271,9 +278,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, whose text has a language and whose spans of it hold at least ``least_share`` of the words."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @lean("lang_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):

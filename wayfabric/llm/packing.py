@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfabric.llm._words import WordCache
-from wayfabric.scratch import materialize
+from wayfabric.llm._words import WordCache, lean
+from wayfabric.scratch import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -100,9 +100,11 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32), one per piece."""
+    small_batches(docs.sparkSession, 3000)
     kind = docs.schema[id_col].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
+    @lean("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
@@ -346,6 +348,7 @@ class Placement:
 def ranked(pieces: DataFrame) -> DataFrame:
     """Adds (part, nth): the range partition of a row and its place among the partition's rows of its length."""
 
+    @lean("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, count = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
@@ -384,6 +387,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast((placement, offsets))
     fields = ["id", "piece", "start", "length", "ids_crc32"]
 
+    @lean("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, base = shared.value
         for batch in batches:

@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfabric.llm._words import lean
+from wayfabric.scratch import small_batches
+
 #: Bound of the documents whose lines train the chain.
 TRAIN_LIMIT = 3000
 KEEP_SHARE = 0.5
@@ -173,6 +176,7 @@ class LineChain:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_LIMIT) -> LineChain:
     """Train the chain on the lines of the ``limit`` documents that come first by hash of id."""
+    small_batches(docs.sparkSession)
     chosen = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(id_col)
@@ -181,6 +185,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
         .limit(limit)
     )
 
+    @lean("quality_rules")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [line_table(t)[0][:200].ravel() for t in batch.column(1).to_pylist()]
@@ -200,10 +205,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
 def apply_rules(docs: DataFrame, chain: LineChain, id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """Rows (id, base counts, base_failed, kept, content_share) for every row; one narrow pass."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @lean("quality_rules")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfabric.llm._words import WordCache
+from wayfabric.llm._words import WordCache, lean
+from wayfabric.scratch import small_batches
 
 NONE = np.iinfo(np.int64).max
 # Fixed value: the published pre-tokenizer pattern of this byte-level vocabulary, with white space by property.
@@ -148,8 +149,10 @@ _COUNTERS: dict[str, TokenCounter] = {}
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit) for every row of ``docs``; one narrow pass, no shuffle."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean("token_counts")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(path)
         if counter is None:
