@@ -33,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfabric.scratch import materialize
+from wayfabric.llm._words import lean
+from wayfabric.scratch import discard, free, materialize, small_batches, spark_read, write_scratch
 
 LENGTH = 200
 GRAM = 48
@@ -222,38 +223,54 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row per document: (did, tid, n_bytes, sha, h[], a[], n[], sh[]) without its text."""
+    """One row per document without its text: (did, tid, n_bytes, sha, h[], sh[], n[], at[][]).
 
+    A span that a text repeats is listed once, with all its places, so periodic texts stay short.
+    """
+
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for row in range(0, batch.num_rows, 1000):
+                part = batch.slice(row, 1000)
                 texts = _bytes(part.column(2))
                 found = anchors(texts, length, gram)
-                hashes = [[xxhash.xxh3_64_intdigest(t[x : x + n]) for x, n in zip(a.tolist(), s.tolist(), strict=True)] for t, (_, a, s) in zip(texts, found, strict=True)]
-                ends = np.r_[0, np.cumsum([len(x[0]) for x in found])].astype(np.int32)
-                cat = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-                sh = np.array([y for x in hashes for y in x], dtype=np.uint64).view(np.int64)
-                lists = [cat[0], cat[1].astype(np.int32), cat[2].astype(np.int32), sh]
+                h, sh, size, inner, outer, flat = [], [], [], [0], [0], []
+                for t, (grams, starts, sizes) in zip(texts, anchors(texts, length, gram), strict=True):
+                    places: dict[tuple[int, int], list[int]] = {}
+                    for g, x, n in zip(grams.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+                        places.setdefault((g, xxhash.xxh3_64_intdigest(t[x : x + n]) - (1 << 63)), []).append(x)
+                        if len(places) > len(h) - outer[-1]:
+                            h.append(g)
+                            size.append(n)
+                    for (_, s), where in places.items():
+                        sh.append(s)
+                        flat += where
+                        inner.append(len(flat))
+                    outer.append(len(h))
+                ends = pa.array(outer, pa.int32())
+                at_lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat, pa.int32()))
+                lists = [pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(size, pa.int32()), at_lists]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                        *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists),
+                        *(pa.ListArray.from_arrays(ends, x) for x in lists),
                     ],
-                    names=["did", "tid", "n_bytes", "sha", "h", "a", "n", "sh"],
+                    names=["did", "tid", "n_bytes", "sha", "h", "sh", "n", "at"],
                 )
 
-    return docs.mapInArrow(run, "did long, tid long, n_bytes long, sha string, h array<long>, a array<int>, n array<int>, sh array<long>")
+    return docs.mapInArrow(run, "did long, tid long, n_bytes long, sha string, h array<long>, sh array<long>, n array<int>, at array<array<int>>")
 
 
 def _spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of wanted spans: rows (h, sh, salt, splits, copies, span)."""
 
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -304,6 +321,7 @@ def _shards(spans: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "sh", "start", "stop", "f1", "f2"])
 
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "sh", "salt", "splits", "copies", "span"]
         held: dict[str, list] = {k: [] for k in names}
@@ -332,6 +350,7 @@ def _shards(spans: DataFrame, length: int) -> DataFrame:
 def _merge(windows: DataFrame) -> DataFrame:
     """Windows of split anchors that occur in two shards: rows (h, sh, start, stop)."""
 
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -362,19 +381,29 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spl
     texts: one row per document (did, tid, n_bytes, sha, copies). ranges: (did, tid, ranges) for the
     texts that occur once and lose bytes, ``ranges`` an array of (start, stop) that may overlap.
     """
-    scanned = materialize(_scan(docs, length, gram), "scan")
-    texts = scanned.groupBy("tid").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first(F.struct("h", "a", "n", "sh")).alias("x")
+    spark = docs.sparkSession
+    small_batches(spark)
+    full = write_scratch(_scan(docs, length, gram), "scan")
+    scanned = materialize(spark_read(spark, full).select("did", "tid", "n_bytes", "sha"), "marks")
+    texts = spark_read(spark, full).groupBy("tid").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first(F.struct("h", "sh", "n", "at")).alias("x")
     )
-    texts = materialize(texts, "texts")
-    zipped = F.explode(F.arrays_zip("x.h", "x.a", "x.n", "x.sh")).alias("z")
-    places = texts.select("did", "tid", "copies", zipped).select("did", "tid", "copies", "z.h", "z.a", "z.n", "z.sh")
-    shared = places.groupBy("h").agg(F.sum("copies").alias("places"), F.min("sh").alias("low"), F.max("sh").alias("high"))
+    listed = write_scratch(texts, "texts")
+    discard(spark, full)
+    free(spark)
+    texts = spark_read(spark, listed)
+    zipped = F.explode(F.arrays_zip("x.h", "x.sh", "x.n", "x.at")).alias("z")
+    places = texts.select("did", "tid", "copies", zipped).select("did", "tid", "copies", "z.h", "z.sh", "z.n", "z.at")
+    times = F.sum(F.col("copies") * F.size("at"))
+    shared = places.groupBy("h").agg(times.alias("places"), F.min("sh").alias("low"), F.max("sh").alias("high"))
     shared = materialize(shared.where("places > 1").select("h", (F.col("low") != F.col("high")).alias("mixed")), "shared")
     found = materialize(places.join(shared, "h"), "found")
+    texts = materialize(texts.where("copies > 1").select("tid", "copies"), "copied")
+    discard(spark, listed)
+    free(spark)
 
     mixed = found.where("mixed")
-    variants = mixed.groupBy("h", "sh").agg(F.sum("copies").alias("copies"), F.min(F.struct("did", "tid", "a", "n")).alias("at"))
+    variants = mixed.groupBy("h", "sh").agg(times.alias("copies"), F.min(F.struct("did", "tid", F.col("at")[0].alias("a"), "n")).alias("at"))
     variants = materialize(variants, "variants")
     hot = variants.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > split)
     hot = materialize(hot.select("h", F.ceil(F.col("m") / split).cast("int").alias("splits")), "hot")
@@ -383,18 +412,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spl
     want = F.collect_list(F.struct("at.a", "at.n", "h", "sh", "salt", "splits", "copies")).alias("want")
     wanted = salted.groupBy("at.did", "at.tid").agg(want)
     solved = materialize(_shards(_spans(docs, wanted), length), "solved")
+    free(spark)
     inside = solved.where("f1 is null").select("h", "sh", "start", "stop")
     across = _merge(solved.where("f1 is not null"))
     pieces = inside.unionByName(across)
     # a span that occurs twice repeats as a whole, any other where its shard says
-    single = mixed.where("copies = 1").join(variants.where("copies = 1").select("h", "sh"), ["h", "sh"]).select("did", "tid", "a", "h", "sh")
+    single = mixed.where("copies = 1").join(variants.where("copies = 1").select("h", "sh"), ["h", "sh"]).select("did", "tid", F.col("at")[0].alias("a"), "h", "sh")
     part = single.join(pieces, ["h", "sh"]).select("did", "tid", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("stop")).alias("stop"))
     again = mixed.where("copies = 1").join(variants.where("copies > 1").select("h", "sh"), ["h", "sh"])
-    whole = found.where("not mixed and copies = 1").select("did", "tid", "a", "n").unionByName(again.select("did", "tid", "a", "n"))
-    whole = whole.select("did", "tid", F.col("a").alias("start"), (F.col("a") + F.col("n")).alias("stop"))
+    whole = found.where("not mixed and copies = 1").select("did", "tid", "at", "n").unionByName(again.select("did", "tid", "at", "n"))
+    whole = whole.select("did", "tid", F.explode("at").alias("a"), "n").select("did", "tid", F.col("a").alias("start"), (F.col("a") + F.col("n")).alias("stop"))
     ranges = part.unionByName(whole).groupBy("did", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    rows = scanned.select("did", "tid", "n_bytes", "sha").join(texts.where("copies > 1").select("tid", "copies"), "tid", "left")
-    return rows.withColumn("copies", F.coalesce("copies", F.lit(1))), materialize(ranges, "ranges")
+    ranges = materialize(ranges, "ranges")
+    free(spark)
+    return scanned.join(texts, "tid", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), ranges
 
 
 def _cut(raw: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
@@ -416,6 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = keyed(docs, id_col, text_col)
     texts, ranges = repeated_ranges(rows, length)
 
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, out = batch.column(2), []
@@ -459,6 +491,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", tex
     marked = marked.join(copied.withColumn("_whole", F.lit(True)), "_tid", "left")
     at = marked.columns.index(text_col)
 
+    @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("_ranges"))
