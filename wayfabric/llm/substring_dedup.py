@@ -230,25 +230,33 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     @lean("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_intdigest as digest
 
         for batch in batches:
             for row in range(0, batch.num_rows, 1000):
                 part = batch.slice(row, 1000)
                 texts = _bytes(part.column(2))
-                found = anchors(texts, length, gram)
                 h, sh, size, inner, outer, flat = [], [], [], [0], [0], []
                 for t, (grams, starts, sizes) in zip(texts, anchors(texts, length, gram), strict=True):
-                    places: dict[tuple[int, int], list[int]] = {}
-                    for g, x, n in zip(grams.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-                        places.setdefault((g, xxhash.xxh3_64_intdigest(t[x : x + n]) - (1 << 63)), []).append(x)
-                        if len(places) > len(h) - outer[-1]:
+                    cuts, sizes = starts.tolist(), sizes.tolist()
+                    marks = [digest(t[x : x + n]) - (1 << 63) for x, n in zip(cuts, sizes, strict=True)]
+                    grams = grams.tolist()
+                    if len(set(grams)) == len(grams):  # as in most texts, no anchor repeats
+                        h += grams
+                        sh += marks
+                        size += sizes
+                        flat += cuts
+                        inner += range(inner[-1] + 1, inner[-1] + len(cuts) + 1)
+                    else:
+                        places: dict[tuple[int, int, int], list[int]] = {}
+                        for x, key in zip(cuts, zip(grams, marks, sizes, strict=True), strict=True):
+                            places.setdefault(key, []).append(x)
+                        for (g, m, n), where in places.items():
                             h.append(g)
+                            sh.append(m)
                             size.append(n)
-                    for (_, s), where in places.items():
-                        sh.append(s)
-                        flat += where
-                        inner.append(len(flat))
+                            flat += where
+                            inner.append(len(flat))
                     outer.append(len(h))
                 ends = pa.array(outer, pa.int32())
                 at_lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat, pa.int32()))
