@@ -305,6 +305,26 @@ def test_packing_rows(spark, awkward, awkward_rows, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_returns_the_sequences(spark, awkward, awkward_rows):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    out = packing.pack(awkward, path).toPandas().sort_values(["sequence_id", "offset"])
+    read = Counter()
+    for _, g in out.groupby("sequence_id"):
+        sequence = np.frombuffer(b"".join(g["ids"]), dtype="<u4")
+        assert len(sequence) == g["length"].sum()
+        for i, k, at, n in zip(g["doc_id"].fillna(-1).astype("int64"), g["piece"], g["offset"], g["length"], strict=True):
+            read[i, k, tuple(sequence[at : at + n].tolist())] += 1
+    want = Counter()
+    for r in awkward_rows:
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            want[r[0] if r[0] is not None else -1, k // 4096, tuple(ids[k : k + 4096])] += 1
+    assert read == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_close_to_the_bound(seed):
     rng = random.Random(seed)

@@ -9,6 +9,8 @@ rounded down, what is left is placed best-fit, longest first, into the room of o
 all on counts, so the work does not depend on the number of documents. Pieces then find their
 place by their rank within their length: ranks are numbered per range partition and offset by
 the partitions' counts, so that a length shared by a large part of the rows is dealt over tasks.
+The token ids are written once with a number per piece; only lengths and numbers are sorted and
+placed, and the ids join their places by that number.
 
 Null texts count as empty: one piece holding the end id alone. Very long texts are cut, never
 shortened. Rows repeat, and null ids occur: every row is a document of its own. An empty table
@@ -99,7 +101,10 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """Rows (id, piece, start, length, ids_crc32), one per piece."""
+    """Rows (uid, id, piece, start, length, ids_crc32, ids), one per piece; ``ids`` are little-endian unsigned 32-bit integers.
+
+    ``uid`` tells all rows apart, also those of repeated or null ids; it holds once the rows are written.
+    """
     small_batches(docs.sparkSession, 3000)
     kind = docs.schema[id_col].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
@@ -108,24 +113,33 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 3000):
                 part = batch.slice(at, 3000)
-                ids, rows = part.column(0), []
+                names, rows, raws = part.column(0), [], []
                 for i, raw in enumerate(_ENCODERS[path].encode_array(part.column(1))):
                     raw += end
                     n = len(raw) // 4
                     for k, a in enumerate(range(0, n, capacity)):
                         b = min(a + capacity, n)
-                        rows.append((i, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))
-                table = np.array(rows, dtype=np.int64).reshape(-1, 5)
+                        raws.append(raw[4 * a : 4 * b])
+                        rows.append((uid + len(rows), i, k, a, b - a, zlib.crc32(raws[-1])))
+                table = np.array(rows, dtype=np.int64).reshape(-1, 6)
+                uid += len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, k]) for k in (2, 3, 4))],
-                    names=["id", "piece", "start", "length", "ids_crc32"],
+                    [
+                        pa.array(table[:, 0]),
+                        names.take(pa.array(table[:, 1])),
+                        pa.array(table[:, 2].astype(np.int32)),
+                        *(pa.array(table[:, k]) for k in (3, 4, 5)),
+                        pa.array(raws, pa.binary()),
+                    ],
+                    names=["uid", "id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return picked.mapInArrow(run, f"uid long, id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
@@ -374,10 +388,13 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one per piece of every row of ``docs``."""
+    """Rows (id, piece, start, length, ids_crc32, ids, sequence_id, offset), one per piece of every row of ``docs``.
+
+    ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers; a sequence is its pieces' ids by offset.
+    """
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
-    rows = materialize(ranked(pieces), "ranked")
+    rows = materialize(ranked(pieces.drop("ids")), "ranked")
     # one row per partition and length: at most partitions + lengths rows, as the partitions are ranges
     counts = rows.groupBy("length", "part").count().toPandas().sort_values(["length", "part"])
     totals = counts.groupby("length")["count"].sum()
@@ -385,7 +402,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     before = counts.groupby("length")["count"].cumsum() - counts["count"]
     offsets = {(int(n), int(p)): int(b) for n, p, b in zip(counts["length"], counts["part"], before, strict=True)}
     shared = spark.sparkContext.broadcast((placement, offsets))
-    fields = ["id", "piece", "start", "length", "ids_crc32"]
+    fields = ["uid", "id", "piece", "start", "length", "ids_crc32"]
 
     @lean("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,5 +417,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = f"uid long, id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    # hash tables of the places, which are few bytes a piece; the ids stream past them unsorted
+    placed = rows.mapInArrow(run, schema).hint("shuffle_hash").join(pieces.select("uid", "ids"), "uid")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")

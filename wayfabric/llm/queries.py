@@ -75,7 +75,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of at most 4096 tokens."""
     from wayfabric.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    out = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query
