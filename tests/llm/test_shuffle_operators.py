@@ -91,6 +91,33 @@ def test_deeper_codes_find_near_vectors():
         assert met.mean() > 0.95
 
 
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_depth_loses_no_links(depth):
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.unit_rows(rng.normal(size=(5000, 64)))
+    side = rng.normal(size=x.shape)
+    side = embedding_dedup.unit_rows(side - (side * x).sum(1, keepdims=True) * x)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * side
+
+    def recall(depth):
+        tables, probes = embedding_dedup.effort(depth)
+        a, b = (embedding_dedup.codes(v, depth, tables, probes) for v in (x, y))
+        return (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean()
+
+    assert recall(depth) >= recall(1) - 0.0005
+
+
+def test_depth_is_of_the_own_label(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=4).tolist(), "hot") for k in range(600)] + [(600 + k, rng.normal(size=4).tolist(), "small") for k in range(20)]
+    df = spark.createDataFrame([(i, v, lab) for i, v, lab in rows], "cid long, vec array<double>, label string")
+    got = {(r["label"], r["depth"]) for r in embedding_dedup.with_depth(df).collect()}
+    assert got == {("hot", 2), ("small", 1)}
+    out = embedding_dedup.near_duplicates(df, id_col="cid", vec_col="vec").collect()
+    want = Counter(rows[x][0] for pair in brute_links(rows) for x in pair)
+    assert {r["cid"]: r["n_links"] for r in out} == {i: want[i] for i, _, _ in rows}
+
+
 # ---- substrings -----------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 Vectors are compared within a label by cosine in double precision. Each of ``tables`` hash functions
 rotates the normalized vector (random signs and a fast Hadamard transform, three times) and takes
 the nearest signed axis; ``depth`` independent rotations make one code, and multiprobing files the
-vector under its ``probes`` best codes per table. The depth grows with the number of vectors per label,
-so that buckets keep a bounded expected size. Every pair that shares a bucket is verified exactly.
+vector under its ``probes`` best codes per table. The depth grows with the number of vectors of a label,
+so that buckets keep a bounded expected size; each label has its own depth, and tables and probes grow
+with it, so that deeper codes lose no links. Every pair that shares a bucket is verified exactly.
 
 A pair may meet in several buckets; it is counted in the first one, by table and code, that both
 share, which each bucket decides on its own from the codes that vectors carry along. Links are
@@ -36,6 +37,8 @@ from wayfabric.scratch import materialize
 THRESHOLD = 0.93
 TABLES = 4
 PROBES = 3
+#: Tables and probes of codes of each depth, as multiples of those of depth 1.
+EFFORT = {1: (1, 1), 2: (1.5, 4 / 3), 3: (2, 2), 4: (3, 8 / 3)}
 BLOCK = 1500
 SEED = 2718
 
@@ -103,6 +106,12 @@ def code_depth(vectors: int, width: int) -> int:
     return depth
 
 
+def effort(depth: int, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
+    """Tables and probes of codes of a depth, given those of depth 1."""
+    more, wider = EFFORT[depth]
+    return math.ceil(tables * more), math.ceil(probes * wider)
+
+
 def _as_float(vectors: DataFrame, vec_col: str) -> Column:
     """The vectors as they are if of floats, else as doubles."""
     own = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
@@ -136,22 +145,36 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
     return rows.select("vid", "key"), grouped.withColumn("cid", cid)
 
 
-def _buckets(classes: DataFrame, depths: dict, tables: int, probes: int) -> DataFrame:
-    """Rows (label key, width, table, code, cid, m, vec, codes[]), one per bucket of each class."""
+def with_depth(classes: DataFrame) -> DataFrame:
+    """Adds the depth of each class, by the number of classes of its own label and vector length."""
+    spark = classes.sparkSession
+    sizes = classes.groupBy(F.size("vec").alias("w"), "label").count()
+    # only labels of over 128 vectors per component can need more than one rotation
+    large = sizes.where(F.col("count") > 128 * F.col("w")).collect()
+    deep = [(r["w"], r["label"], code_depth(r["count"], r["w"])) for r in large]
+    kind = classes.schema["label"].dataType.simpleString()
+    known = spark.createDataFrame([r for r in deep if r[2] > 1], f"w int, label {kind}, depth int")
+    rows = classes.withColumn("w", F.size("vec")).join(F.broadcast(known), ["w", "label"], "left")
+    return rows.withColumn("depth", F.coalesce("depth", F.lit(1)))
+
+
+def _buckets(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    """Rows (label key, width, table, code, cid, m, vec, codes[], probes), one per bucket of each class."""
 
     @lean("embedding_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, m, lab = (batch.column(k) for k in range(3))
-            vecs = batch.column(3)
+            cid, m, lab, vecs = (batch.column(k) for k in range(4))
+            depths = batch.column(4).to_numpy()
             flat, ends = vecs.flatten().to_numpy(), vecs.offsets.to_numpy() - vecs.offsets[0].as_py()
             width = np.diff(ends)
-            for w in np.unique(width).tolist():
-                rows = np.flatnonzero(width == w)
+            for w, depth in np.unique(np.column_stack([width, depths]), axis=0).tolist():
+                rows = np.flatnonzero((width == w) & (depths == depth))
+                tabs, prob = effort(depth, tables, probes)
                 for at in range(0, len(rows), 1000):
                     part = rows[at : at + 1000]
                     x = flat[ends[part][:, None] + np.arange(w)]
-                    code = codes(unit_rows(x), depths.get(w, 1), tables, probes).reshape(len(part), -1)
+                    code = codes(unit_rows(x), depth, tabs, prob).reshape(len(part), -1)
                     k = code.shape[1]
                     take = pa.array(np.repeat(part, k))
                     lists = [np.repeat(x, k, axis=0).ravel(), np.repeat(code, k, axis=0).ravel()]
@@ -160,19 +183,20 @@ def _buckets(classes: DataFrame, depths: dict, tables: int, probes: int) -> Data
                         [
                             lab.take(take),
                             pa.array(np.full(len(part) * k, w, dtype=np.int32)),
-                            pa.array(np.tile(np.repeat(np.arange(tables), probes), len(part)).astype(np.int32)),
+                            pa.array(np.tile(np.repeat(np.arange(tabs), prob), len(part)).astype(np.int32)),
                             pa.array(code.ravel()),
                             cid.take(take),
                             m.take(take),
                             *(pa.ListArray.from_arrays(o, pa.array(v)) for o, v in zip(offsets, lists, strict=True)),
+                            pa.array(np.full(len(part) * k, prob, dtype=np.int32)),
                         ],
-                        names=["label", "width", "tab", "code", "cid", "m", "vec", "codes"],
+                        names=["label", "width", "tab", "code", "cid", "m", "vec", "codes", "probes"],
                     )
 
     kind = classes.schema["label"].dataType.simpleString()
     vec = classes.schema["vec"].dataType.simpleString()
-    schema = f"label {kind}, width int, tab int, code long, cid long, m long, vec {vec}, codes array<long>"
-    return classes.select("cid", "m", "label", "vec").mapInArrow(run, schema)
+    schema = f"label {kind}, width int, tab int, code long, cid long, m long, vec {vec}, codes array<long>, probes int"
+    return with_depth(classes).select("cid", "m", "label", "vec", "depth").mapInArrow(run, schema)
 
 
 def bucket_links(vec: np.ndarray, code: np.ndarray, tab: int, mine: int, probes: int, threshold: float, cut: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +223,7 @@ def bucket_links(vec: np.ndarray, code: np.ndarray, tab: int, mine: int, probes:
     return i[first], j[first]
 
 
-def _solve(dealt: DataFrame, probes: int, threshold: float, keys: list[str], two_sided: bool) -> DataFrame:
+def _solve(dealt: DataFrame, threshold: float, keys: list[str], two_sided: bool) -> DataFrame:
     """Rows (cid, links, other): verified links per class and bucket, or a forest edge to another class."""
 
     def solve(rows: list) -> list[tuple[int, int, int | None]]:
@@ -211,7 +235,7 @@ def _solve(dealt: DataFrame, probes: int, threshold: float, keys: list[str], two
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         m = np.array([r[1] for r in rows], dtype=np.int64)
         vec, code = unit_rows(np.array([r[2] for r in rows])), np.array([r[3] for r in rows], dtype=np.int64)
-        tab, mine = rows[0][4]
+        tab, mine, probes = rows[0][4]
         i, j = bucket_links(vec, code, tab, mine, probes, threshold, cut if two_sided else None)
         n = np.bincount(i, weights=m[j], minlength=len(ids)) + np.bincount(j, weights=m[i], minlength=len(ids))
         out = [(int(ids[k]), int(n[k]), None) for k in np.flatnonzero(n)]
@@ -245,8 +269,8 @@ def _solve(dealt: DataFrame, probes: int, threshold: float, keys: list[str], two
             get = {f: batch.column(batch.schema.get_field_index(f)) for f in batch.schema.names}
             key_rows = zip(*(get[k].to_pylist() for k in keys), strict=True)
             widths, vecs = get["width"].to_pylist(), get["vec"].flatten().to_numpy()
-            code = get["codes"].flatten().to_numpy().reshape(batch.num_rows, -1)
-            ids, ms, tabs, mine = (get[k].to_pylist() for k in ("cid", "m", "tab", "code"))
+            code, ends = get["codes"].flatten().to_numpy(), get["codes"].offsets.to_numpy() - get["codes"].offsets[0].as_py()
+            ids, ms, tabs, mine, probes = (get[k].to_pylist() for k in ("cid", "m", "tab", "code", "probes"))
             side = get["side"].to_pylist()
             at = 0
             for r, key in enumerate(key_rows):
@@ -256,7 +280,7 @@ def _solve(dealt: DataFrame, probes: int, threshold: float, keys: list[str], two
                     held, last = [], key
                     if len(found) > 100_000:
                         yield from flush()
-                held.append((ids[r], ms[r], vecs[at : at + widths[r]].copy(), code[r].copy(), (tabs[r], mine[r]), side[r]))
+                held.append((ids[r], ms[r], vecs[at : at + widths[r]].copy(), code[ends[r] : ends[r + 1]].copy(), (tabs[r], mine[r], probes[r]), side[r]))
                 at += widths[r]
         if len(held) > 1:
             found += solve(held)
@@ -279,22 +303,20 @@ def near_duplicates(
     """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
     rows, grouped = _classes(vectors, id_col, vec_col, label_col)
     classes = materialize(grouped, "classes")
-    sizes = classes.groupBy(F.size("vec").alias("w"), "label").count().groupBy("w").agg(F.max("count").alias("n")).collect()  # a row per vector length
-    depths = {r["w"]: code_depth(r["n"], r["w"]) for r in sizes}
-    filed = materialize(_buckets(classes, depths, tables, probes), "buckets")
+    filed = materialize(_buckets(classes, tables, probes), "buckets")
     bucket = ["label", "width", "tab", "code"]
     counts = filed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = materialize(counts.withColumn("tiles", F.ceil(F.col("n") / block).cast("int")).drop("n"), "counts")
     full = filed.join(counts, bucket).withColumn("side", F.lit(0))
-    found = materialize(_solve(full.where("tiles = 1"), probes, threshold, bucket, False), "links")
+    found = materialize(_solve(full.where("tiles = 1"), threshold, bucket, False), "links")
     if not counts.where("tiles > 1").isEmpty():
         big = full.where("tiles > 1").withColumn("own", F.pmod(F.xxhash64("cid"), "tiles").cast("int"))
-        inside = _solve(big.withColumn("tile", F.col("own")), probes, threshold, [*bucket, "tile"], False)
+        inside = _solve(big.withColumn("tile", F.col("own")), threshold, [*bucket, "tile"], False)
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         pairs = big.withColumn("with", other).where("with <> own")
         pairs = pairs.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with"))
         pairs = pairs.withColumn("side", (F.col("own") > F.col("with")).cast("int"))
-        across = _solve(pairs, probes, threshold, [*bucket, "low", "high"], True)
+        across = _solve(pairs, threshold, [*bucket, "low", "high"], True)
         found = found.unionByName(materialize(inside.unionByName(across), "links"))
     links = found.where("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
     edges = found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))
