@@ -36,3 +36,14 @@ def distances(spark):
 def test_distances_from_every_node(spark, distances, name):
     rows = QUERIES[name](spark, SF).collect()
     assert len(rows) == len(distances) and {(r["src"], r["dst"]): r["dist"] for r in rows} == distances
+
+
+def test_mean_path_of_all_pairs(spark, distances):
+    reached = defaultdict(set)
+    for a, b in distances:
+        reached[a].add(b)
+    core = min((reached[a] for a in reached), key=lambda c: (-len(c), min(c)))
+    want = [d for (a, b), d in distances.items() if a in core and a < b]
+    got = QUERIES["mean_path_on_largest_all"](spark, SF).collect()
+    assert len(got) == 1 and got[0]["pairs"] == len(want)
+    assert got[0]["avg_path_len"] == pytest.approx(sum(want) / len(want), abs=1e-4)
