@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 
 import pytest
@@ -47,3 +48,16 @@ def test_mean_path_of_all_pairs(spark, distances):
     got = QUERIES["mean_path_on_largest_all"](spark, SF).collect()
     assert len(got) == 1 and got[0]["pairs"] == len(want)
     assert got[0]["avg_path_len"] == pytest.approx(sum(want) / len(want), abs=1e-4)
+
+
+def test_every_segment_is_drawn(spark):
+    rows = [(r["vec_id"], math.floor(float(r["embedding"][2]) * 60 + 32)) for r in fx.table(spark, SF, "embeddings").collect()]
+    height, want = max(y for y, _ in rows) + 1, set()
+    for y0, x1 in rows:
+        dx, dy = x1 - 5, 4
+        for y in range(max(0, y0 - 3), min(height, y0 + 8)):
+            for x in range(64):
+                t = max(0.0, min(1.0, ((x - 5) * dx + (y - y0) * dy) / (dx * dx + dy * dy)))
+                if (x - 5 - t * dx) ** 2 + (y - y0 - t * dy) ** 2 <= 2.25:
+                    want.add((y, x))
+    assert {(r["y"], r["x"]) for r in QUERIES["vector_raster_all"](spark, SF).collect()} == want
