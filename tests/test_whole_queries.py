@@ -61,3 +61,14 @@ def test_every_segment_is_drawn(spark):
                 if (x - 5 - t * dx) ** 2 + (y - y0 - t * dy) ** 2 <= 2.25:
                     want.add((y, x))
     assert {(r["y"], r["x"]) for r in QUERIES["vector_raster_all"](spark, SF).collect()} == want
+
+
+def test_stress_queries_use_250_pairs(spark):
+    pairs = QUERIES["connected_pairs_250"](spark, SF).collect()
+    assert [r["pair_id"] for r in pairs] == list(range(250))
+    steps = QUERIES["stress_by_degree_250"](spark, SF).orderBy("step").collect()
+    assert len(steps) == 9 and steps[0]["reachable_pairs"] == 250
+    whatif = QUERIES["what_if_250"](spark, SF).collect()
+    three = steps[3]
+    # what_if draws 250 of 250: the core is connected, so its pairs are the same
+    assert whatif[0]["reachable_pairs"] == three["reachable_pairs"] and abs(whatif[0]["resilience_index"] - three["resilience_index"]) < 1e-3

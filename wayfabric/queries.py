@@ -527,6 +527,27 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.what_if(core, edges, closed, pairs=PAIRS, weight="w")
 
 
+@query()
+def stress_by_degree_250(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stress_by_degree`` over the operator's own 250 pairs."""
+    core, edges = _core(spark, sf_dir)
+    return ablation.stress_test(core, edges, materialize(_removals(core, edges), "top"), weight="w")
+
+
+@query()
+def what_if_250(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``what_if`` over the operator's own 250 pairs."""
+    core, edges = _core(spark, sf_dir)
+    closed = materialize(_removals(core, edges).where("rank <= 3").select("node_id"), "closed")
+    return ablation.what_if(core, edges, closed, weight="w")
+
+
+@query()
+def connected_pairs_250(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 250 connected pairs of 500 draws."""
+    return ablation.connected_pairs(*_core(spark, sf_dir), 250, 500)
+
+
 # ---- scores ---------------------------------------------------------------------------------
 
 _WIDE = f"{CELL}, {META}, {GT}, {PRED}, {_NINE}, {OCC}, region as (select y, x from gt except select y, x from occ)"
