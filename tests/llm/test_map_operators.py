@@ -157,6 +157,26 @@ def test_quality_rules_rows(spark, awkward, nothing):
     assert quality_rules.apply_rules(nothing, quality_rules.learn(nothing)).count() == 0
 
 
+def test_chain_learns_from_every_line(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_rules.LineChain, "fit", lambda self, tables: seen.extend(map(len, tables)) or self)
+    lines = "\n".join(f"line {k} of a long text." for k in range(450))
+    quality_rules.learn(spark.createDataFrame([(1, lines), (2, "one line only")], "doc_id long, text string"))
+    assert sorted(seen) == [1, 450]
+
+
+def test_chain_of_mixed_lengths_separates_lines():
+    rng = np.random.default_rng(7)
+    tables = []
+    for n in [1, 2, 3, 60, 500, *range(4, 30)]:
+        rows = np.zeros((n, quality_rules.WIDTH))
+        rows[:, 0], rows[:, 9] = 1, np.repeat(rng.integers(0, 2, size=-(-n // 5)), 5)[:n]
+        tables.append(rows)
+    chain = quality_rules.LineChain().fit(tables)
+    for rows in tables:
+        assert (chain.decode(rows) == quality_rules.provisional(rows)).all()
+
+
 def test_line_chain_decodes_best_path():
     rng = np.random.default_rng(3)
     chain = quality_rules.LineChain()

@@ -108,45 +108,57 @@ class LineChain:
         self.t = np.zeros((2, 2))
 
     def fit(self, tables: list[np.ndarray], steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> LineChain:
-        """Maximum likelihood by Adam on all sequences at once."""
-        tables = [x for x in tables if len(x)]
-        if not tables:
+        """Maximum likelihood by Adam on all sequences, side by side with those of at least half their length."""
+        batches: list[list[np.ndarray]] = []
+        for rows in sorted((x for x in tables if len(x)), key=len, reverse=True):
+            if not batches or 2 * len(rows) < len(batches[-1][0]):
+                batches.append([])
+            batches[-1].append(rows)
+        if not batches:
             return self
-        tables.sort(key=len, reverse=True)
-        longest, b = len(tables[0]), len(tables)
-        x = np.zeros((longest, b, WIDTH))
-        y = np.zeros((longest, b), dtype=np.int64)
-        on = np.zeros((longest, b), dtype=bool)
-        for j, rows in enumerate(tables):
-            x[: len(rows), j], y[: len(rows), j], on[: len(rows), j] = rows, provisional(rows), True
-        total = on.sum()
-        one = np.eye(2)[y] * on[..., None]
-        pairs = on[1:]
-        seen_t = np.einsum("tbi,tbj->ij", one[:-1], one[1:])
-        seen_w = np.einsum("tbf,tbk->fk", x, one)
+        padded = [self._pad(b) for b in batches]
+        total = sum(on.sum() for _, _, on in padded)
         moment = [np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.w), np.zeros_like(self.t)]
         for step in range(1, steps + 1):
-            e = x @ self.w
-            fwd, back = np.zeros((longest, b, 2)), np.zeros((longest, b, 2))
-            fwd[0] = e[0]
-            for t in range(1, longest):
-                new = np.logaddexp(fwd[t - 1][:, :1] + self.t[0], fwd[t - 1][:, 1:] + self.t[1]) + e[t]
-                fwd[t] = np.where(on[t][:, None], new, fwd[t - 1])
-            for t in range(longest - 2, -1, -1):
-                nxt = back[t + 1] + e[t + 1]
-                new = np.logaddexp(self.t[:, 0] + nxt[:, :1], self.t[:, 1] + nxt[:, 1:])
-                back[t] = np.where(on[t + 1][:, None], new, 0)
-            z = np.logaddexp(fwd[-1, :, 0], fwd[-1, :, 1])
-            p = np.exp(np.minimum(fwd + back - z[None, :, None], 0)) * on[..., None]
-            pair = fwd[:-1, :, :, None] + self.t + (e + back)[1:, :, None, :] - z[None, :, None, None]
-            q = np.exp(np.minimum(pair, 0)) * pairs[..., None, None]
-            grads = [(np.einsum("tbf,tbk->fk", x, p) - seen_w) / total + ridge * self.w, (q.sum(axis=(0, 1)) - seen_t) / total + ridge * self.t]
+            parts = [self._gradients(*b) for b in padded]
+            grads = [sum(g for g, _ in parts) / total + ridge * self.w, sum(g for _, g in parts) / total + ridge * self.t]
             for k, (param, g) in enumerate(zip((self.w, self.t), grads, strict=True)):
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 moment[k + 2] = 0.99 * moment[k + 2] + 0.01 * g * g
                 param -= rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(moment[k + 2] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    @staticmethod
+    def _pad(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, one-hot provisional labels and a mask of sequences, the longest first."""
+        longest, b = len(tables[0]), len(tables)
+        x = np.zeros((longest, b, WIDTH))
+        y = np.zeros((longest, b), dtype=np.int64)
+        on = np.zeros((longest, b), dtype=bool)
+        for j, rows in enumerate(tables):
+            x[: len(rows), j], y[: len(rows), j], on[: len(rows), j] = rows, provisional(rows), True
+        return x, np.eye(2)[y] * on[..., None], on
+
+    def _gradients(self, x: np.ndarray, one: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected minus seen line and change counts of padded sequences."""
+        longest, b = on.shape
+        pairs = on[1:]
+        e = x @ self.w
+        fwd, back = np.zeros((longest, b, 2)), np.zeros((longest, b, 2))
+        fwd[0] = e[0]
+        for t in range(1, longest):
+            new = np.logaddexp(fwd[t - 1][:, :1] + self.t[0], fwd[t - 1][:, 1:] + self.t[1]) + e[t]
+            fwd[t] = np.where(on[t][:, None], new, fwd[t - 1])
+        for t in range(longest - 2, -1, -1):
+            nxt = back[t + 1] + e[t + 1]
+            new = np.logaddexp(self.t[:, 0] + nxt[:, :1], self.t[:, 1] + nxt[:, 1:])
+            back[t] = np.where(on[t + 1][:, None], new, 0)
+        z = np.logaddexp(fwd[-1, :, 0], fwd[-1, :, 1])
+        p = np.exp(np.minimum(fwd + back - z[None, :, None], 0)) * on[..., None]
+        pair = fwd[:-1, :, :, None] + self.t + (e + back)[1:, :, None, :] - z[None, :, None, None]
+        q = np.exp(np.minimum(pair, 0)) * pairs[..., None, None]
+        return np.einsum("tbf,tbk->fk", x, p - one), q.sum(axis=(0, 1)) - np.einsum("tbi,tbj->ij", one[:-1], one[1:])
+
     def decode(self, rows: np.ndarray) -> np.ndarray:
         """Best label sequence (1: boilerplate) by Viterbi; ties go to content."""
         if not len(rows):
@@ -188,7 +200,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     @lean("quality_rules")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [line_table(t)[0][:200].ravel() for t in batch.column(1).to_pylist()]
+            lines = [line_table(t)[0].ravel() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.float64()))], names=["id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
