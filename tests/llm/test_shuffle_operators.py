@@ -143,18 +143,52 @@ def test_substrings_of_awkward_rows(spark, awkward, awkward_rows, nothing):
 
 
 @pytest.mark.parametrize("split", [2000, 3])
-def test_substrings_of_patchworks(spark, split, monkeypatch):
+def test_substrings_of_patchworks(spark, split):
     rng = random.Random(split)
-    parts = ["".join(rng.choice("abcd é") for _ in range(rng.randrange(20, 400))) for _ in range(12)]
+    parts = ["".join(rng.choice("abcd é\0") for _ in range(rng.randrange(20, 400))) for _ in range(12)]
     texts = ["".join(rng.choice(parts)[rng.randrange(30) :] for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     hot = "".join(rng.choice("xyz") for _ in range(190))
     texts += ["".join(rng.choice("pqrs") for _ in range(30)) + hot + "".join(rng.choice("pq") for _ in range(40)) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    monkeypatch.setattr(substring_dedup.repeated_ranges, "__defaults__", (200, 48, split))
-    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(df).collect())
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(df, split=split).collect())
     assert got == [(i, *x) for i, x in enumerate(brute_removed(texts, 200))]
 
 
+def test_substrings_of_one_crowded_passage(spark, monkeypatch):
+    """Over SPLIT different spans around one anchor: at the default sizes only the merge can see some repeats."""
+    rng = random.Random(8)
+    hot = "".join(rng.choice("xyz") for _ in range(192))
+    texts = ["".join(rng.choice("pqrs") for _ in range(24)) + hot + "".join(rng.choice("pqrs") for _ in range(24)) for _ in range(4500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(brute_removed(texts, 200))]
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(df).collect()) == want
+    monkeypatch.setattr(substring_dedup, "_across", lambda *a: None)
+    alone = sorted(tuple(r) for r in substring_dedup.remove_repeats(df).collect())
+    assert sum(r[2] for r in alone) < sum(r[2] for r in want)
+
+
+def test_repeats_across_shards():
+    rng = random.Random(3)
+    for _ in range(60):
+        length = rng.choice([1, 2, 4])
+        shards, known = [], []
+        for _ in range(rng.randint(1, 6)):
+            parts, seen = [], set()
+            for _ in range(rng.randint(1, 4)):
+                part = bytes(rng.choice(b"ab\0\1") for _ in range(rng.randint(length, length + 3)))
+                fresh = [part[i : i + length] for i in range(len(part) - length + 1)]
+                if len({*fresh} - seen) == len(fresh):
+                    seen |= {*fresh}
+                    parts.append(part)
+            if not parts:
+                continue
+            shards.append(parts)
+            known.append([p[i : i + length] for p in parts for i in range(len(p) - length + 1)])
+        times = Counter(w for x in known for w in x)
+        for x, found in zip(known, substring_dedup.repeats_across(shards, length), strict=True):
+            assert found.tolist() == [times[w] > 1 for w in x]
+
+
 def test_suffix_classes_are_equal_windows():
     rng = random.Random(0)
     for _ in range(80):
@@ -187,6 +221,12 @@ def test_cut_texts_keep_columns(awkward, awkward_rows):
     assert out.columns == awkward.columns and out.count() == len(awkward_rows)
     by = {r["doc_id"]: r["text"] for r in out.collect()}
     assert by[4] is None and by[1] == "" and by[7] == "word"
+    odd = {"_did": "doc_id", "_T1": "doc_id", "_ranges": "lang", "_whole": "source", "did": "lang", "span": "source", "copies": "n_chars"}
+    more = substring_dedup.cut_texts(awkward.select("*", *[F.col(c).alias(name) for name, c in odd.items()]))
+    assert more.columns == [*awkward.columns, *odd]
+    key = str
+    assert sorted(map(tuple, more.select(*awkward.columns).collect()), key=key) == sorted(map(tuple, out.collect()), key=key)
+    assert all(r[name] == r[c] for r in more.collect() for name, c in odd.items())
 
 
 # ---- n-gram join ----------------------------------------------------------------------------
