@@ -289,6 +289,22 @@ def test_one_per_group_stays(awkward, awkward_rows):
     assert out.columns == awkward.columns and ids.count(16) == 1 and 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 8 not in ids
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(7)
+    a, b = ([f"{c}{rng.randrange(1000)}" for _ in range(80)] for c in "ab")
+    near = lambda words, x: " ".join([*words[:40], x, *words[41:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(a, "x")), (6, near(b, "y")), (None, near(a, "z")), (None, near(b, "z")), (None, "alone in the table without any other"), (7, "alone " * 30), (7, "alone " * 30)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, did int")
+    out = ngram_join.join_components(df, 5, 80).collect()
+    assert Counter((r["did"], r["n_shingles"], r["component_id"]) for r in out) == Counter(brute_components(rows, 5, 80))
+    named = {"_text": "text", "row": "did", "T1": "doc_id", "copies": "text", "_did": "did"}
+    kept = ngram_join.keep_one_per_group(df.select("*", *[F.col(c).alias(x) for x, c in named.items()]), 5, 80)
+    assert kept.columns == [*df.columns, *named]
+    left = kept.collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[6], rows[7]])
+    assert all(r[x] == r[c] for r in left for x, c in named.items())
+
+
 def test_block_links_match_pairs():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
