@@ -357,6 +357,10 @@ def test_mixing_awkward_rows(awkward, nothing):
     levels = {"domain": source_mixing.source_domain(), "lang": F.col("lang"), "source": F.col("source")}
     out = source_mixing.mix(awkward, levels, budget=1.0, max_epochs=2)
     assert out.columns == [*awkward.columns, "n_tokens", "epoch"]
+    names = ["_rest", "_order", "row", "id", "n", "level_0", "last", "bucket", "Epoch"]
+    more = source_mixing.mix(awkward.select("*", *[F.col("lang").alias(x) for x in names]), levels, budget=1.0, max_epochs=2)
+    assert more.columns == [*awkward.columns, *names, "n_tokens", "epoch_"]
+    assert sorted(map(str, more.drop("Epoch").withColumnRenamed("epoch_", "epoch").select(*out.columns).collect())) == sorted(map(str, out.collect()))
     tokens = out.agg(F.sum("n_tokens")).first()[0]
     own = awkward.select(source_mixing.words_between_spaces(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
     assert 0 < tokens <= own
@@ -454,8 +458,9 @@ def test_chat_tree_paths_and_ranks(spark):
         (1, 4, 3, "assistant", None, None), (2, 9, 77, None, "orphan", 1.0), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (1, 4, 3, "assistant", "zz", 0.0),
     ]
     df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
-    with pytest.raises(ValueError):
-        chat_format.format_trees(df).collect()
+    below = spark.createDataFrame([(3, 7, 2, "user", "below a cycle", 0.0), (3, 8, None, "user", "beside it", 0.0), (4, 1, 1, "user", "itself", 0.0)], df.schema)
+    beside = chat_format.format_trees(df.unionByName(below)).select("tree", "leaf").collect()
+    assert {tuple(r) for r in beside} == {(1, 4), (1, 2), (2, 9), (3, 8)}
     out = chat_format.format_trees(df.where("tree <> 3").withColumn("leaf", F.lit(1)))
     got = {(r["tree"], r["leaf"]): r for r in out.collect()}
     assert set(got) == {(1, 4), (1, 2), (2, 9)}

@@ -25,10 +25,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfabric.llm._names import fresh
 from wayfabric.scratch import materialize
 
-#: Hexadecimal digits of the order's hash that name a bucket.
-DIGITS = 3
+#: Hexadecimal digits of the order's hash that a round of bucket sums adds to a bucket's name, and rounds.
+DIGITS, ROUNDS = 2, 2
 
 
 def words_between_spaces(text: Column) -> Column:
@@ -88,50 +89,53 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows of ``docs`` chosen by the mix, with ``epoch`` (from 0) and ``n_tokens``.
+    """Rows of ``docs`` chosen by the mix, with ``n_tokens`` and ``epoch`` (from 0; names that ``docs`` has get a ``_``).
 
     ``levels`` maps level names to expressions over ``docs``, ``weights`` maps level names to
     whole-number weights of values (1 where absent), ``budget`` is a share of all tokens.
     """
-    own = [f"_level_{i}" for i in range(len(levels))]
+    own = [f"level_{i}" for i in range(len(levels))]
+    tokens_name, epoch_name = fresh(docs, "n_tokens", "epoch")
+    # the row is one column, so that names of its columns clash with none here
     named = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "n_tokens")],
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("id"),
         *[e.alias(n) for n, e in zip(own, levels.values(), strict=True)],
-        words_between_spaces(F.col(text_col)).alias("n_tokens"),
+        words_between_spaces(F.col(text_col)).alias("n"),
     )
-    leaves = materialize(named.groupBy(*own).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    leaves = materialize(named.groupBy(*own).agg(F.sum("n").alias("tokens")), "leaves")
     by_level = {n: (weights or {}).get(k, {}) for n, k in zip(own, levels, strict=True)}
     given = allocate(leaves, own, by_level, F.floor(F.sum("tokens") * F.lit(budget)).cast("long"), max_epochs)
     plan = leaves.alias("l").join(given.alias("g"), _same_named("l", "g", own)).select(
-        *[F.col(f"l.{k}").alias(f"_plan_{k}") for k in own],
-        F.expr("given div tokens").alias("_whole"),
-        F.expr("given % tokens").alias("_rest"),
+        *[F.col(f"l.{k}").alias(k) for k in own], F.expr("given div tokens").alias("whole"), F.expr("given % tokens").alias("rest")
     )
-    plan = materialize(plan, "plan")
-    cond = F.lit(True)
-    for k in own:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_plan_{k}"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_whole").cast("string"), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    planned = named.join(plan, cond).withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    # sums of the buckets say in which one the rest's prefix ends; it starts after _before tokens
-    sums = planned.groupBy(*own, "_rest", "_bucket").agg(F.sum("n_tokens").alias("n"))
-    run = Window.partitionBy(*own).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = sums.withColumn("_sum", F.sum("n").over(run)).where(F.col("_sum") > F.col("_rest"))
-    ends = over.groupBy(*[F.col(k).alias(f"_end_{k}") for k in own]).agg(F.min(F.struct("_bucket", (F.col("_sum") - F.col("n")).alias("before"))).alias("e"))
-    ends = materialize(ends.select(*[f"_end_{k}" for k in own], F.col("e._bucket").alias("_last"), F.col("e.before").alias("_before")), "ends")
-    at = F.lit(True)
-    for k in own:
-        at = at & F.col(k).eqNullSafe(F.col(f"_end_{k}"))
-    decided = planned.join(ends, at, "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "n_tokens")]
-    early = decided.where(F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(True))).withColumn("_more", F.lit(1))
-    late = decided.where("_bucket > _last").withColumn("_more", F.lit(0))
-    inner = Window.partitionBy(*own).orderBy("_order", F.col(id_col), "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    border = decided.where("_bucket = _last")
-    border = border.withColumn("_more", (F.col("_before") + F.sum("n_tokens").over(inner) <= F.col("_rest")).cast("int"))
-    chosen = early.unionByName(late).unionByName(border).withColumn("_epochs", (F.col("_whole") + F.col("_more")).cast("int"))
-    epochs = F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("epoch")
-    return chosen.where("_epochs > 0").select(*columns, "n_tokens", epochs)
+    plan = materialize(plan.withColumn("last", F.lit("")).withColumn("before", F.lit(0).cast("long")), "plan")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    terms = ["whole", "rest", "last", "before"]
+    run = Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for size in range(DIGITS, DIGITS * ROUNDS + 1, DIGITS):
+        # sums of at most 16 ** DIGITS buckets a leaf say in which one its prefix ends, and after how many tokens that starts
+        planned = _planned(named, plan, own, terms, order)
+        inside = planned.where(F.substring("order", 1, size - DIGITS) == F.col("last")) if size > DIGITS else planned
+        sums = inside.groupBy(*own, *terms, F.substring("order", 1, size).alias("bucket")).agg(F.sum("n").alias("sum"))
+        over = sums.withColumn("run", F.col("before") + F.sum("sum").over(run)).where(F.col("run") > F.col("rest"))
+        first = F.min(F.struct(F.col("bucket").alias("last"), (F.col("run") - F.col("sum")).alias("before"))).alias("end")
+        ends = over.groupBy(*own, "whole", "rest").agg(first)
+        plan = materialize(ends.select(*own, "whole", "rest", "end.last", "end.before"), "ends")
+    decided = _planned(named, plan, own, terms, order).withColumn("bucket", F.substring("order", 1, DIGITS * ROUNDS))
+    sure = decided.where("bucket <> last").withColumn("more", (F.col("bucket") < F.col("last")).cast("int"))
+    inner = Window.partitionBy(*own).orderBy("order", "id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    border = decided.where("bucket = last")
+    border = border.withColumn("more", (F.col("before") + F.sum("n").over(inner) <= F.col("rest")).cast("int"))
+    chosen = sure.unionByName(border).withColumn("epochs", (F.col("whole") + F.col("more")).cast("int")).where("epochs > 0")
+    epochs = F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias(epoch_name)
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("n").alias(tokens_name), epochs)
+
+
+def _planned(named: DataFrame, plan: DataFrame, own: Sequence[str], terms: Sequence[str], order: Column) -> DataFrame:
+    """The rows with their leaf's terms and their place in its order."""
+    joined = named.alias("d").join(plan.alias("p"), _same_named("d", "p", own))
+    return joined.select("row", "id", *[F.col(f"d.{k}").alias(k) for k in own], "n", *terms).withColumn("order", order)
 
 
 def _same_named(a: str, b: str, keys: Sequence[str]) -> Column:
