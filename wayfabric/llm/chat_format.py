@@ -13,8 +13,8 @@ assistant's texts stand in the formatted string (start from 0, length, in code p
 
 Null texts and roles count as empty, null scores as 0. Rows with a null tree are one tree of their
 own. A node named twice in a tree keeps the row with the smallest (role, text); a parent that does
-not exist makes its child a root. Cycles have no root and yield no path. An empty table gives an
-empty result, and extra columns are ignored.
+not exist makes its child a root. Cycles, and replies below them, have no root and yield no path; other
+paths of the table are not touched. An empty table gives an empty result, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from wayfabric.scratch import materialize
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 ASSISTANT = "assistant"
-MAX_DOUBLINGS = 40
 
 
 def escape(c: Column) -> Column:
@@ -50,25 +49,24 @@ def paths(replies: DataFrame) -> DataFrame:
     links = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"))
     # hops[k]: (tree, node, the ancestor 2^k steps up), only where there is one
     hops = [materialize(links.where("up is not null"), "hop")]
-    for _ in range(MAX_DOUBLINGS):
-        last = hops[-1]
-        nxt = materialize(
-            last.join(last.select("tree", F.col("node").alias("up"), F.col("up").alias("far")), ["tree", "up"]).select(
-                "tree", "node", F.col("far").alias("up")
-            ),
-            "hop",
-        )
-        if nxt.isEmpty():
+    count = hops[0].count()
+    while count:
+        last, before = hops[-1], count
+        far = last.select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
+        hops.append(materialize(last.join(far, ["tree", "up"]).select("tree", "node", F.col("far").alias("up")), "hop"))
+        count = hops[-1].count()
+        if count == before:  # a path has nodes at every distance from its root, so all that is left goes round
+            endless = hops[-1].select("tree", "node")
+            hops = [h.join(endless, ["tree", "node"], "left_anti") for h in hops[:-1]]
+            links = links.join(endless, ["tree", "node"], "left_anti")
+            base = base.join(endless, ["tree", "node"], "left_anti")
             break
-        hops.append(nxt)
-    else:
-        raise ValueError("replies hold a cycle")
     inner = links.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = base.select("tree", "node").join(inner, ["tree", "node"], "left_anti")
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
     for k in range(len(hops) - 1, -1, -1):
         jumped = walk.join(hops[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
-        walk = materialize(walk.unionByName(jumped), "walk") if k % 4 == 0 else walk.unionByName(jumped)
+        walk = materialize(walk.unionByName(jumped), "walk")
     return walk
 
 
@@ -90,32 +88,25 @@ def format_trees(replies: DataFrame, best: int | None = None) -> DataFrame:
     said = materialize(said.select("tree", "node", "m.role", "m.text", "m.parent", "m.score"), "replies")
     turn = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")), F.lit(END))
     turns = paths(said).join(said.drop("parent"), ["tree", "node"])
+    role_size, text_size = F.length(escape(F.col("role"))).cast("long"), F.length(escape(F.col("text"))).cast("long")
+    order = Window.partitionBy("tree", "leaf").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a text ends where its turn does, less the closing mark
+    stop = F.sum(role_size + text_size + len(TURN) + len(TEXT) + len(END)).over(order) - len(END)
+    placed = turns.withColumn("stop", stop).withColumn("size", text_size)
     piece = F.struct(
         (-F.col("depth")).alias("at"),
         turn.alias("body"),
-        (F.length(escape(F.col("role"))) + len(TURN) + len(TEXT)).cast("long").alias("lead"),
-        F.length(escape(F.col("text"))).cast("long").alias("size"),
+        (F.col("stop") - F.col("size")).alias("start"),
+        F.col("size").alias("length"),
         (F.col("role") == ASSISTANT).alias("learn"),
     )
-    joined = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(piece)).alias("turns"))
+    joined = placed.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(piece)).alias("turns"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     ranked = joined.withColumn("rank", rank)
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
-    mask = F.aggregate(
-        "turns",
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["body"])).alias("at"),
-            F.when(
-                x["learn"],
-                F.concat(acc["mask"], F.array(F.struct((acc["at"] + x["lead"]).alias("start"), x["size"].alias("length")))),
-            )
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        ),
-    )["mask"]
+    learned = F.filter("turns", lambda x: x["learn"])
+    mask = F.transform(learned, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     tree = F.from_json("tree", f"t {kind.simpleString()}")["t"]
     return ranked.select(
         tree.alias("tree"),
