@@ -392,6 +392,22 @@ def test_packing_rows(spark, awkward, awkward_rows, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), packing.PieceEncoder(path)
+    rng = random.Random(12)
+    marks = ["\u0331", "\u030c", "\u0308", "\u030a", "\u0323", "\u0301"]
+    bits = [*"HJTWYaeiost", *marks, *".,;:!?'\"-5", " ", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "é", "日", "'s", "'ll", "it's.", "end.", "<|endoftext|>", "<|", "|>", "\u1100\u1161", "²"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += [f"{c}{m}" for c in "HJTWYA" for m in marks] + ["a.", "a .", "a..,b", "'.", "don't, 'tis.\n", "5. 5.5, 5", ""]
+    for some in (texts, [t for t in texts if "<|" not in t]):
+        got = [np.frombuffer(x, dtype=mine.kind).tolist() for x in mine.encode(some)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert [(t, g, w) for t, g, w in zip(some, got, want, strict=True) if g != w] == []
+
+
 def test_packing_returns_the_sequences(spark, awkward, awkward_rows):
     from tokenizers import Tokenizer
 
@@ -400,7 +416,7 @@ def test_packing_returns_the_sequences(spark, awkward, awkward_rows):
     out = packing.pack(awkward, path).toPandas().sort_values(["sequence_id", "offset"])
     read = Counter()
     for _, g in out.groupby("sequence_id"):
-        sequence = np.frombuffer(b"".join(g["ids"]), dtype="<u4")
+        sequence = np.frombuffer(b"".join(g["ids"]), dtype="<u2")
         assert len(sequence) == g["length"].sum()
         for i, k, at, n in zip(g["doc_id"].fillna(-1).astype("int64"), g["piece"], g["offset"], g["length"], strict=True):
             read[i, k, tuple(sequence[at : at + n].tolist())] += 1

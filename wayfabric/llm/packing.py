@@ -61,6 +61,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._cache = WordCache(self._encode)
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -69,19 +70,24 @@ class PieceEncoder:
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
             found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
+            ids = np.array(found.ids, dtype=self.kind)
             starts = np.fromiter(chain.from_iterable(found.offsets), dtype=np.int64, count=2 * len(ids))[::2]
             ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
-            raw, cut = ids.tobytes(), (4 * np.searchsorted(starts, ends)).tolist()
+            raw, cut = ids.tobytes(), (ids.itemsize * np.searchsorted(starts, ends)).tolist()
             out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
         return out
 
     def encode_array(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of ``kind``."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
-        # the vocabulary is lower case; only the spelling of its special strings matters
+        # the vocabulary is lower case; only the spelling of its special strings matters, and that capitals are
+        # composed with the marks that follow them before they are lowered
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
+            marked = pc.match_substring_regex(texts, r"[A-Z]\p{M}") if not pc.all(pc.string_is_ascii(texts)).as_py() else None
+            lower = pc.ascii_lower(texts)
+            texts = lower if marked is None else pc.if_else(marked, texts, lower)
+        # stops between a letter or digit and white space are chunks of their own, as they are tokens of their own
+        texts = pc.replace_substring_regex(texts, r"([\p{L}\p{N}])([.,;:!?]+)(\s|$)", r"\1 \2\3")
         words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
         uniq = coded.dictionary.to_pylist()
@@ -93,7 +99,7 @@ class PieceEncoder:
         return [bytes(data[a:b]) for a, b in pairwise(cuts)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text of a list."""
+        """The ids of each text of a list, as ``encode_array`` gives them."""
         return self.encode_array(pa.array(texts, pa.string()))
 
 
@@ -101,30 +107,31 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """Rows (uid, id, piece, start, length, ids_crc32, ids), one per piece; ``ids`` are little-endian unsigned 32-bit integers.
+    """Rows (uid, id, piece, start, length, ids_crc32, ids), one per piece; ``ids`` are unsigned integers as ``encode_array`` gives them.
 
     ``uid`` tells all rows apart, also those of repeated or null ids; it holds once the rows are written.
     """
     small_batches(docs.sparkSession, 3000)
     kind = docs.schema[id_col].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
-
     @lean("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
+        encoder = _ENCODERS[path]
+        width, end = encoder.kind.itemsize, int(end_id).to_bytes(encoder.kind.itemsize, "little")
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 3000):
                 part = batch.slice(at, 3000)
                 names, rows, raws = part.column(0), [], []
-                for i, raw in enumerate(_ENCODERS[path].encode_array(part.column(1))):
+                for i, raw in enumerate(encoder.encode_array(part.column(1))):
                     raw += end
-                    n = len(raw) // 4
+                    n = len(raw) // width
                     for k, a in enumerate(range(0, n, capacity)):
                         b = min(a + capacity, n)
-                        raws.append(raw[4 * a : 4 * b])
-                        rows.append((uid + len(rows), i, k, a, b - a, zlib.crc32(raws[-1])))
+                        raws.append(raw[width * a : width * b])
+                        whole = np.frombuffer(raws[-1], dtype=encoder.kind).astype("<u4", copy=False)
+                        rows.append((uid + len(rows), i, k, a, b - a, zlib.crc32(whole)))
                 table = np.array(rows, dtype=np.int64).reshape(-1, 6)
                 uid += len(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -390,7 +397,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, ids, sequence_id, offset), one per piece of every row of ``docs``.
 
-    ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers; a sequence is its pieces' ids by offset.
+    ``ids`` are the piece's token ids as little-endian unsigned integers, of two bytes for a vocabulary of at most
+    65,536 ids and of four for others; a sequence is its pieces' ids by offset. ``ids_crc32`` is of ids of four bytes.
     """
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
