@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wayfabric.llm import lang_id, quality_classifier, quality_rules, token_counts
 from wayfabric.llm.queries import QUERIES, vocabulary
@@ -159,7 +160,7 @@ def test_quality_rules_rows(spark, awkward, nothing):
 
 def test_chain_learns_from_every_line(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality_rules.LineChain, "fit", lambda self, tables: seen.extend(map(len, tables)) or self)
+    monkeypatch.setattr(quality_rules.LineChain, "fit", lambda self, tables: seen.extend(len(y) for _, y in tables) or self)
     lines = "\n".join(f"line {k} of a long text." for k in range(450))
     quality_rules.learn(spark.createDataFrame([(1, lines), (2, "one line only")], "doc_id long, text string"))
     assert sorted(seen) == [1, 450]
@@ -169,12 +170,53 @@ def test_chain_of_mixed_lengths_separates_lines():
     rng = np.random.default_rng(7)
     tables = []
     for n in [1, 2, 3, 60, 500, *range(4, 30)]:
+        labels = np.repeat(rng.integers(0, 2, size=-(-n // 5)), 5)[:n]
         rows = np.zeros((n, quality_rules.WIDTH))
-        rows[:, 0], rows[:, 9] = 1, np.repeat(rng.integers(0, 2, size=-(-n // 5)), 5)[:n]
-        tables.append(rows)
+        rows[:, 0], rows[:, 9] = 1, labels
+        tables.append((rows, labels))
     chain = quality_rules.LineChain().fit(tables)
-    for rows in tables:
-        assert (chain.decode(rows) == quality_rules.provisional(rows)).all()
+    for rows, labels in tables:
+        assert (chain.decode(rows) == labels).all()
+
+
+def test_neighbours_decide_a_verdict():
+    """A faint line between boilerplate lines: content by itself, boilerplate to the chain; the verdict turns on it."""
+    chain = quality_rules.LineChain()
+    chain.w[0] = [0.1, 0.0]  # every line leans to content,
+    chain.w[2] = [0.0, 5.0]  # lines of marked words do not
+    chain.t[:] = [[1.0, -1.0], [-1.0, 1.0]]
+    text = "buy! now!\nplain words stand here for a line of some length\nbuy! more!\nbuy! all!"
+    rows, sizes = quality_rules.line_table(quality_rules.split_lines(text))
+    alone = (rows @ chain.w).argmax(axis=1)
+    assert sizes[alone == 0].sum() / sizes.sum() >= quality_rules.KEEP_SHARE > chain.content_share(text)
+    paths = list(np.ndindex(*[2] * len(rows)))
+    e = rows @ chain.w
+    best = max(paths, key=lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(chain.t[a, b] for a, b in zip(p, p[1:], strict=False)))
+    assert chain.decode(rows).tolist() == list(best)
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every verdict of a small table against the best of all label sequences, scored one by one."""
+    rng = np.random.default_rng(11)
+    lines = ["all rights reserved by the owner", "a plain line of words that says something.", "#### $$$$ ||||", "BUY NOW AND SAVE!", "more words follow, and then they end."]
+    texts = ["\n".join(f"{lines[k]} {i}" for i, k in enumerate(rng.integers(0, 5, rng.integers(1, 8)))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("x", F.lit(1)).withColumn("key", F.lit("k")).withColumn("y", F.lit(2))
+    chain = quality_rules.learn(df)
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(df, chain).collect()}
+    for i, text in enumerate(texts):
+        rows, sizes = quality_rules.line_table(quality_rules.split_lines(text))
+        e = rows @ chain.w
+        best = max(np.ndindex(*[2] * len(rows)), key=lambda p: sum(e[j, k] for j, k in enumerate(p)) + sum(chain.t[a, b] for a, b in zip(p, p[1:], strict=False)))
+        share = sizes[np.array(best) == 0].sum() / sizes.sum()
+        assert got[i]["content_share"] == pytest.approx(0.0 if got[i]["base_failed"] else share)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and share >= quality_rules.KEEP_SHARE)
+
+
+def test_long_text_of_many_lines():
+    text = "\n".join(f"line {k} has words" for k in range(200_000))
+    chain = quality_rules.LineChain()
+    chain.w[0] = [1.0, 0.0]
+    assert chain.content_share(text) == 1.0
 
 
 def test_line_chain_decodes_best_path():

@@ -6,16 +6,22 @@ more than a fifth. Otherwise its lines are labelled by Viterbi decoding of a two
 the document is kept if content lines hold at least ``KEEP_SHARE`` of its words.
 
 The chain is trained by maximum likelihood on lines with provisional labels (``provisional``) of a
-bounded number of documents, the first by a hash of their ids; labels.quality is not used. Null
-texts count as empty and fail the base rules; texts of blank lines too. Very long texts are read
-whole; repeated rows repeat their result; an empty table gives an empty result.
+bounded number of documents, the first by a hash of their ids; labels.quality is not used. The labels
+come from a rule that sees phrases, copies of lines and thresholds; the chain's features hold none of
+these, only shares, sizes, places and hashed words, and what lies between two lines is decided by the
+changes that it learned. Null texts count as empty and fail the base rules; texts of blank lines too.
+Very long texts are read whole; repeated rows repeat their result; an empty table gives an empty
+result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,7 @@ from wayfabric.scratch import small_batches
 TRAIN_LIMIT = 3000
 KEEP_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
+MARKS = "!#*$%&|"
 _LEGAL = re.compile(r"licen[sc]e|copyright|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in\b", re.I)
 
 
@@ -69,35 +76,58 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
-def line_table(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of the lines with words: features and numbers of words."""
-    lines = [x for x in (y.split() for y in text.split("\n")) if x]
-    seen: dict[tuple, int] = {}
+@functools.lru_cache(maxsize=200_000)
+def _word(word: str) -> tuple[int, bool, bool, bool, bool]:
+    """Of a word: its bucket, whether it is all capitals, ends in a mark, starts with a capital, and holds a digit."""
+    bare = word.lower().strip(".,;:!?'\"()")
+    digit = any(map(str.isdigit, word))
+    return zlib.crc32(bare.encode("utf-8", "surrogatepass")) % BUCKETS, word.isupper() and len(word) > 1, word[-1] in MARKS, word[0].isupper(), digit
+
+
+def split_lines(text: str) -> list[list[str]]:
+    """The words of the lines that have any."""
+    return [x for x in (y.split() for y in text.split("\n")) if x]
+
+
+def line_table(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and numbers of words of lines."""
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    if not len(lines):
+        return np.zeros((0, WIDTH)), sizes
+    words = list(chain.from_iterable(lines))
+    known = np.array(list(map(_word, words)), dtype=np.int64)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    chars = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    first = np.cumsum(sizes) - sizes
+    same = np.r_[False, [a == b for a, b in pairwise(words)]]
+    same[first] = False
+    total = np.bincount(owner, weights=chars)
+    share = [np.bincount(owner, weights=x) / sizes for x in (known[:, 1], known[:, 2], known[:, 3], known[:, 4], same)]
+    symbols = np.array([sum(map(" ".join(x).count, SYMBOLS)) for x in lines]) / total
+    ends = np.array([x[-1][-1] in ".?!" for x in lines])
+    edge = np.zeros(len(lines))
+    edge[[0, -1]] = 1
+    plain = [np.ones(len(lines)), *share, np.minimum(symbols * 10, 2), np.minimum(sizes, 50) / 50, sizes < 4, ends, edge, np.minimum(total / sizes, 20) / 10]
+    bag = np.bincount(owner * BUCKETS + known[:, 0], minlength=len(lines) * BUCKETS).reshape(-1, BUCKETS)
+    return np.column_stack([*plain, bag / np.sqrt(sizes)[:, None]]), sizes
+
+
+PLAIN, BUCKETS = 12, 128
+WIDTH = PLAIN + BUCKETS
+
+
+def provisional(lines: list[list[str]]) -> np.ndarray:
+    """Provisional labels of lines: 1 is boilerplate. The rule behind them is not seen by the chain."""
+    times = Counter(map(tuple, lines))
+    out = []
     for w in lines:
-        seen[tuple(w)] = seen.get(tuple(w), 0) + 1
-    rows, sizes = [], []
-    for i, w in enumerate(lines):
         n, body = len(w), " ".join(w)
         shout = sum(x.isupper() and len(x) > 1 for x in w) / n
-        marked = sum(x[-1] in "!#*$%&|" for x in w) / n
+        marked = sum(x[-1] in MARKS for x in w) / n
         repeats = sum(a == b for a, b in pairwise(w)) / max(n - 1, 1)
         symbols = sum(map(body.count, SYMBOLS)) / len(body)
-        rows.append([
-            1.0, shout, float(shout > 0.5 and n > 2), marked, float(marked > 0.3), repeats, float(repeats > 0.3), min(symbols * 10, 2.0),
-            float(seen[tuple(w)] > 1), float(bool(_LEGAL.search(body))), min(n, 50) / 50, float(n < 4), float(body[-1] in ".?!"),
-            float(i in (0, len(lines) - 1)),
-        ])
-        sizes.append(n)
-    return np.array(rows, dtype=np.float64).reshape(-1, WIDTH), np.array(sizes, dtype=np.int64)
-
-
-WIDTH = 14
-
-
-def provisional(x: np.ndarray) -> np.ndarray:
-    """Provisional labels of lines from their features: 1 is boilerplate."""
-    bad = (x[:, 2] > 0) | (x[:, 4] > 0) | (x[:, 6] > 0) | (x[:, 7] > 0.5) | (x[:, 8] > 0) | (x[:, 9] > 0)
-    return bad.astype(np.int64)
+        out.append((shout > 0.5 and n > 2) or marked > 0.3 or repeats > 0.3 or symbols > 0.05 or times[tuple(w)] > 1 or bool(_LEGAL.search(body)))
+    return np.array(out, dtype=np.int64)
 
 
 class LineChain:
@@ -107,13 +137,13 @@ class LineChain:
         self.w = np.zeros((WIDTH, 2))
         self.t = np.zeros((2, 2))
 
-    def fit(self, tables: list[np.ndarray], steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> LineChain:
-        """Maximum likelihood by Adam on all sequences, side by side with those of at least half their length."""
-        batches: list[list[np.ndarray]] = []
-        for rows in sorted((x for x in tables if len(x)), key=len, reverse=True):
-            if not batches or 2 * len(rows) < len(batches[-1][0]):
+    def fit(self, tables: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> LineChain:
+        """Maximum likelihood by Adam on all sequences of (features, labels), side by side with those of at least half their length."""
+        batches: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        for pair in sorted((x for x in tables if len(x[1])), key=lambda x: len(x[1]), reverse=True):
+            if not batches or 2 * len(pair[1]) < len(batches[-1][0][1]):
                 batches.append([])
-            batches[-1].append(rows)
+            batches[-1].append(pair)
         if not batches:
             return self
         padded = [self._pad(b) for b in batches]
@@ -129,14 +159,14 @@ class LineChain:
         return self
 
     @staticmethod
-    def _pad(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _pad(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features, one-hot provisional labels and a mask of sequences, the longest first."""
-        longest, b = len(tables[0]), len(tables)
+        longest, b = len(tables[0][1]), len(tables)
         x = np.zeros((longest, b, WIDTH))
         y = np.zeros((longest, b), dtype=np.int64)
         on = np.zeros((longest, b), dtype=bool)
-        for j, rows in enumerate(tables):
-            x[: len(rows), j], y[: len(rows), j], on[: len(rows), j] = rows, provisional(rows), True
+        for j, (rows, labels) in enumerate(tables):
+            x[: len(rows), j], y[: len(rows), j], on[: len(rows), j] = rows, labels, True
         return x, np.eye(2)[y] * on[..., None], on
 
     def _gradients(self, x: np.ndarray, one: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +187,7 @@ class LineChain:
         p = np.exp(np.minimum(fwd + back - z[None, :, None], 0)) * on[..., None]
         pair = fwd[:-1, :, :, None] + self.t + (e + back)[1:, :, None, :] - z[None, :, None, None]
         q = np.exp(np.minimum(pair, 0)) * pairs[..., None, None]
-        return np.einsum("tbf,tbk->fk", x, p - one), q.sum(axis=(0, 1)) - np.einsum("tbi,tbj->ij", one[:-1], one[1:])
+        return np.tensordot(x, p - one, axes=([0, 1], [0, 1])), q.sum(axis=(0, 1)) - np.einsum("tbi,tbj->ij", one[:-1], one[1:])
 
     def decode(self, rows: np.ndarray) -> np.ndarray:
         """Best label sequence (1: boilerplate) by Viterbi; ties go to content."""
@@ -180,39 +210,33 @@ class LineChain:
 
     def content_share(self, text: str) -> float:
         """Share of a text's words that lie in content lines."""
-        rows, sizes = line_table(text)
+        rows, sizes = line_table(split_lines(text))
         if not len(sizes):
             return 0.0
         return float(sizes[self.decode(rows) == 0].sum() / sizes.sum())
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_LIMIT) -> LineChain:
-    """Train the chain on the lines of the ``limit`` documents that come first by hash of id."""
+    """Train the chain on all lines of the ``limit`` different documents that come first by hash of id."""
     small_batches(docs.sparkSession)
-    chosen = (
-        docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(id_col)
-        .distinct()
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(limit)
-    )
+    given = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    given = given.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    chosen = given.select("id", "key").distinct().orderBy(F.xxhash64("id"), "id", "key").limit(limit)
 
     @lean("quality_rules")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [line_table(t)[0].ravel() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.float64()))], names=["id", "x"])
+            lines = [split_lines(t) for t in batch.column(2).to_pylist()]
+            x = [line_table(t)[0].astype(np.float32).ravel() for t in lines]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32())), pa.array([provisional(t) for t in lines], pa.list_(pa.int64()))],
+                names=["id", "key", "x", "y"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = (
-        docs.select(id_col, text_col)
-        .where(F.col(text_col).isNotNull())
-        .join(F.broadcast(chosen), id_col)
-        .mapInArrow(run, f"id {kind}, x array<double>")
-        .toPandas()
-        .sort_values("id", kind="stable")
-    )
-    return LineChain().fit([np.asarray(x, dtype=np.float64).reshape(-1, WIDTH) for x in rows["x"]])
+    rows = given.join(F.broadcast(chosen), ["id", "key"]).dropDuplicates(["id", "key"])
+    rows = rows.mapInArrow(run, f"id {kind}, key long, x array<float>, y array<long>").toPandas().sort_values(["id", "key"], kind="stable")
+    return LineChain().fit([(np.asarray(x, dtype=np.float64).reshape(-1, WIDTH), np.asarray(y)) for x, y in zip(rows["x"], rows["y"], strict=True)])
 
 
 def apply_rules(docs: DataFrame, chain: LineChain, id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
