@@ -33,7 +33,7 @@ def distances(spark):
     return out
 
 
-@pytest.mark.parametrize("name", ["shortest_paths_all", "shortest_paths_relaxed_all"])
+@pytest.mark.parametrize("name", ["shortest_paths", "shortest_paths_relaxed"])
 def test_distances_from_every_node(spark, distances, name):
     rows = QUERIES[name](spark, SF).collect()
     assert len(rows) == len(distances) and {(r["src"], r["dst"]): r["dist"] for r in rows} == distances
@@ -45,7 +45,7 @@ def test_mean_path_of_all_pairs(spark, distances):
         reached[a].add(b)
     core = min((reached[a] for a in reached), key=lambda c: (-len(c), min(c)))
     want = [d for (a, b), d in distances.items() if a in core and a < b]
-    got = QUERIES["mean_path_on_largest_all"](spark, SF).collect()
+    got = QUERIES["mean_path_on_largest"](spark, SF).collect()
     assert len(got) == 1 and got[0]["pairs"] == len(want)
     assert got[0]["avg_path_len"] == pytest.approx(sum(want) / len(want), abs=1e-4)
 
@@ -60,15 +60,15 @@ def test_every_segment_is_drawn(spark):
                 t = max(0.0, min(1.0, ((x - 5) * dx + (y - y0) * dy) / (dx * dx + dy * dy)))
                 if (x - 5 - t * dx) ** 2 + (y - y0 - t * dy) ** 2 <= 2.25:
                     want.add((y, x))
-    assert {(r["y"], r["x"]) for r in QUERIES["vector_raster_all"](spark, SF).collect()} == want
+    assert {(r["y"], r["x"]) for r in QUERIES["vector_raster"](spark, SF).collect()} == want
 
 
 def test_stress_queries_use_250_pairs(spark):
-    pairs = QUERIES["connected_pairs_250"](spark, SF).collect()
+    pairs = QUERIES["connected_pairs"](spark, SF).collect()
     assert [r["pair_id"] for r in pairs] == list(range(250))
-    steps = QUERIES["stress_by_degree_250"](spark, SF).orderBy("step").collect()
+    steps = QUERIES["stress_by_degree"](spark, SF).orderBy("step").collect()
     assert len(steps) == 9 and steps[0]["reachable_pairs"] == 250
-    whatif = QUERIES["what_if_250"](spark, SF).collect()
+    whatif = QUERIES["what_if"](spark, SF).collect()
     three = steps[3]
     # what_if draws 250 of 250: the core is connected, so its pairs are the same
     assert whatif[0]["reachable_pairs"] == three["reachable_pairs"] and abs(whatif[0]["resilience_index"] - three["resilience_index"]) < 1e-3

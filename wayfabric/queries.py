@@ -239,20 +239,14 @@ def edge_dedupe_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_graph(fx.parallel_edges(spark, sf_dir)).select("a", "b", "weight")
 
 
-@query(f"""with {CELL}, {META}, s as (select vec_id as y0, cast(embedding[3] as double)*60+32 as e from embeddings where vec_id%10=0),
+@query(f"""with {CELL}, {META}, s as (select vec_id as y0, cast(embedding[3] as double)*60+32 as e from embeddings),
 seg as (select 5 as x0, y0, cast(floor(e) as int) as x1, y0+4 as y1 from s),
 g as (select distinct y, x from seg, (select unnest(range(-3, 8)) as oy), (select unnest(range(64)) as x), meta, lateral (select y0+oy as y) l1,
   lateral (select greatest(0.0e0, least(1.0e0, ((x-x0)*(x1-x0)+(y-y0)*(y1-y0))/cast((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) as double))) as t) l2
   where y between 0 and h-1 and power(x-x0-t*(x1-x0), 2)+power(y-y0-t*(y1-y0), 2)<=2.25e0)
 select cast(y as int) as y, cast(x as int) as x from g""")
 def vector_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments drawn 3 pixels wide."""
-    return _drawn(spark, sf_dir, fx.table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0"))
-
-
-@query()
-def vector_raster_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segment of every row, drawn 3 pixels wide; the SQL of ``vector_raster`` covers every tenth."""
+    """The segment of every row, drawn 3 pixels wide."""
     return _drawn(spark, sf_dir, fx.table(spark, sf_dir, "embeddings"))
 
 
@@ -385,31 +379,17 @@ def dist(sources: str, sym: str = "sym", name: str = "dist") -> str:
   where old.d is null or p.d+e.w<old.d group by p.s, e.b)"""
 
 
-@query(f"with recursive {GRAPH}, {dist('select node_id as s from geo_nodes where node_id%20=0')} select s as src, t as dst, d as dist from dist")
+@query(f"with recursive {GRAPH}, {dist('select node_id as s from geo_nodes')} select s as src, t as dst, d as dist from dist")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from every twentieth node."""
+    """Distances from every node."""
     nodes, edges = _graph(spark, sf_dir)
-    return paths.distances(edges, nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("src")), "w")
+    return paths.distances(edges, nodes.select(F.col("node_id").alias("src")), "w")
 
 
 @query(ORACLES["shortest_paths"])
 def shortest_paths_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same distances by frontier relaxation, the form for graphs too large to broadcast."""
     nodes, edges = _graph(spark, sf_dir)
-    return paths.relax(edges, nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("src")), "w")
-
-
-@query()
-def shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from every node; the SQL of ``shortest_paths`` covers every twentieth."""
-    nodes, edges = _graph(spark, sf_dir)
-    return paths.distances(edges, nodes.select(F.col("node_id").alias("src")), "w")
-
-
-@query()
-def shortest_paths_relaxed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same distances by frontier relaxation."""
-    nodes, edges = _graph(spark, sf_dir)
     return paths.relax(edges, nodes.select(F.col("node_id").alias("src")), "w")
 
 
@@ -462,7 +442,8 @@ def sampled_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- stress tests ---------------------------------------------------------------------------
 
-PAIRS = 60
+#: The operator's own number of pairs.
+PAIRS = 250
 
 
 def _removals(core: DataFrame, edges: DataFrame, n: int = 8) -> DataFrame:
@@ -506,7 +487,7 @@ select cast(fin.step as int) as step, node_id as removed_node, cast(fin.step as
   round(case when fin.step=0 then 1 else len/cur end, 4) as resilience_index, round(inv/n, 6) as efficiency, round(case when fin.step=0 then 1 else inv/n/eff end, 4) as efficiency_retained,
   round(coalesce(m, 0)/(select n from total), 4) as lcc_frac, ok as reachable_pairs from fin left join lcc on lcc.step=fin.step left join top on r=fin.step""")
 def stress_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative removal of the eight nodes of highest degree, over 60 pairs."""
+    """Cumulative removal of the eight nodes of highest degree."""
     core, edges = _core(spark, sf_dir)
     top = materialize(_removals(core, edges), "top")
     return ablation.stress_test(core, edges, top, pairs=PAIRS, weight="w")
@@ -527,27 +508,6 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.what_if(core, edges, closed, pairs=PAIRS, weight="w")
 
 
-@query()
-def stress_by_degree_250(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``stress_by_degree`` over the operator's own 250 pairs."""
-    core, edges = _core(spark, sf_dir)
-    return ablation.stress_test(core, edges, materialize(_removals(core, edges), "top"), weight="w")
-
-
-@query()
-def what_if_250(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``what_if`` over the operator's own 250 pairs."""
-    core, edges = _core(spark, sf_dir)
-    closed = materialize(_removals(core, edges).where("rank <= 3").select("node_id"), "closed")
-    return ablation.what_if(core, edges, closed, weight="w")
-
-
-@query()
-def connected_pairs_250(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 250 connected pairs of 500 draws."""
-    return ablation.connected_pairs(*_core(spark, sf_dir), 250, 500)
-
-
 # ---- scores ---------------------------------------------------------------------------------
 
 _WIDE = f"{CELL}, {META}, {GT}, {PRED}, {_NINE}, {OCC}, region as (select y, x from gt except select y, x from occ)"
@@ -705,12 +665,12 @@ def resilience_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synthetic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic road grid, rasterised at a quarter of the default size."""
+    """The synthetic road grid, rasterised at its default size."""
     from wayfabric.sources.synthetic import road_grid
 
-    meta = spark.createDataFrame([(0, 160, 312)], "img_id long, h int, w int")
-    segments = spark.createDataFrame([(0, *s) for s in road_grid(160, 312)], "img_id long, x0 int, y0 int, x1 int, y1 int")
-    return raster.rasterise_segments(segments, meta, 6.0).select("y", "x")
+    meta = spark.createDataFrame([(0, 636, 1245)], "img_id long, h int, w int")
+    segments = spark.createDataFrame([(0, *s) for s in road_grid(636, 1245)], "img_id long, x0 int, y0 int, x1 int, y1 int")
+    return raster.rasterise_segments(segments, meta, 14.0).select("y", "x")
 
 
 # ---- further operators ----------------------------------------------------------------------
@@ -726,18 +686,21 @@ def band_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.resample(fx.cells(spark, sf_dir), fx.raster_meta(spark, sf_dir), 100, 40).select("y", "x", r6("v"))
 
 
-@query(f"with {GRAPH} select a, b, w from geo_edges where a%7<>0 and b%7<>0")
+_BUSY = "busy as materialized (select a as node_id from sym group by a having count(*)>=5)"
+
+
+@query(f"with {GRAPH}, {_BUSY} select a, b, w from geo_edges where a not in (select node_id from busy) and b not in (select node_id from busy)")
 def node_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges left when every seventh node is gone."""
+    """Edges left when every node of degree 5 or more is gone."""
     nodes, edges = _graph(spark, sf_dir)
-    return graph.without_nodes(edges, nodes.where("node_id % 7 = 0")).select("a", "b", "w")
+    return graph.without_nodes(edges, graph.degrees(edges).where("degree >= 5").select("node_id")).select("a", "b", "w")
 
 
-@query(f"with {GRAPH} select a, b, w from geo_edges where a%3=0 and b%3=0")
+@query(f"with {GRAPH}, {_BUSY} select a, b, w from geo_edges where a in (select node_id from busy) and b in (select node_id from busy)")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between every third node."""
+    """Edges between the nodes of degree 5 or more."""
     nodes, edges = _graph(spark, sf_dir)
-    return graph.induced(nodes.where("node_id % 3 = 0"), edges).select("a", "b", "w")
+    return graph.induced(graph.degrees(edges).where("degree >= 5").select("node_id"), edges).select("a", "b", "w")
 
 
 @query(f"with recursive {GRAPH}, {_STRESS.replace('{draws}', str(2 * PAIRS))} select pair_id, src, dst from pairs")
@@ -746,19 +709,9 @@ def connected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.connected_pairs(*_core(spark, sf_dir), PAIRS, 2 * PAIRS)
 
 
-@query(f"""with recursive {GRAPH}, {LCC}, {dist("select node_id as s from core where node_id%10=0")}
-select round(avg(d), 4) as avg_path_len, count(*) as pairs from dist where t in (select node_id from core where node_id%10=0) and s<t""")
+@query(f"""with recursive {GRAPH}, {LCC}, {dist("select node_id as s from core")} select round(avg(d), 4) as avg_path_len, count(*) as pairs from dist where s<t""")
 def mean_path_on_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean distance between every tenth node of the largest component."""
-    nodes, edges = _graph(spark, sf_dir)
-    some = nodes.where("node_id % 10 = 0").select("node_id")
-    pairs = some.select(F.col("node_id").alias("src")).join(some.select(F.col("node_id").alias("dst")), F.col("src") < F.col("dst"))
-    return ablation.mean_path_on_largest(nodes, edges, pairs, "w").select(r6("avg_path_len", 4), "pairs")
-
-
-@query()
-def mean_path_on_largest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean distance between all nodes of the largest component; the SQL of ``mean_path_on_largest`` covers every tenth."""
+    """Mean distance between all nodes of the largest component."""
     return ablation.mean_path_of_all(*_graph(spark, sf_dir), "w").select(r6("avg_path_len", 4), "pairs")
 
 
