@@ -458,34 +458,24 @@ pairs as materialized (select id as pair_id, a.node_id as src, b.node_id as dst
 ranked as (select a as node_id, count(*) as deg from core_sym group by a), top as materialized (select node_id, row_number() over (order by deg desc, node_id) as r from ranked qualify r<=8)"""
 
 
-@query()
-def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative removal of the eight nodes of highest betweenness from the healed graph's largest component."""
-    nodes, edges = _graph(spark, sf_dir)
-    healed, _, _ = heal.heal(nodes, edges, FIXTURE_HEAL)
-    whole = graph.build_graph(healed).withColumn("w", F.round(1000 * F.col("weight")).cast("long"))
-    whole = materialize(whole, "healed")
-    core = materialize(graph.largest_component(nodes, whole), "core")
-    core_edges = materialize(graph.induced(core, whole), "core_edges")
-    top = materialize(paths.gatekeepers(core, materialize(paths.betweenness(core, core_edges, "w")[0], "bc"), 8), "top")
-    return ablation.stress_test(core, core_edges, top, weight="w")
-
-
 _STEP_SQL = """steps as (select unnest(range(0, 9)) as step), gone as materialized (select step, node_id from steps join top on r<=step),
 ssym as materialized (select step*1000000+a as a, step*1000000+b as b, w from core_sym, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id in (a, b))),
 asked as (select distinct step*1000000+src as s from pairs, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id in (src, dst)))"""
 
 
-@query(f"""with recursive {GRAPH}, {_STRESS.replace("{draws}", str(2 * PAIRS))}, {_STEP_SQL}, {dist("select s from asked", "ssym")},
-{comp("select step*1000000+node_id, step*1000000+node_id from core, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id=core.node_id)", "ssym", "scomp")},
-found as (select steps.step, pair_id, d from steps cross join pairs left join dist on s=steps.step*1000000+src and t=steps.step*1000000+dst
+_TOLD = """found as (select steps.step, pair_id, d from steps cross join pairs left join {dist} on s=steps.step*1000000+src and t=steps.step*1000000+dst
   and not exists (select 1 from gone g where g.step=steps.step and g.node_id in (src, dst))),
 agg as (select step, count(*) as n, count(d) as ok, coalesce(sum(d), 0) as total, sum(case when d>0 then 1.0e0/d else 0 end) as inv from found group by step),
 base as (select total/ok as len, inv/n as eff from agg where step=0), lcc as (select v//1000000 as step, max(c) as m from (select v, count(*) as c from scomp group by v) group by 1),
 fin as (select agg.*, base.*, case when step=0 then base.len else (total+(n-ok)*3.0e0*base.len)/n end as cur from agg, base)
 select cast(fin.step as int) as step, node_id as removed_node, cast(fin.step as int) as removed_count, round(cur, 3) as avg_path_len,
   round(case when fin.step=0 then 1 else len/cur end, 4) as resilience_index, round(inv/n, 6) as efficiency, round(case when fin.step=0 then 1 else inv/n/eff end, 4) as efficiency_retained,
-  round(coalesce(m, 0)/(select n from total), 4) as lcc_frac, ok as reachable_pairs from fin left join lcc on lcc.step=fin.step left join top on r=fin.step""")
+  round(coalesce(m, 0)/(select n from total), 4) as lcc_frac, ok as reachable_pairs from fin left join lcc on lcc.step=fin.step left join top on r=fin.step"""
+
+
+@query(f"""with recursive {GRAPH}, {_STRESS.replace("{draws}", str(2 * PAIRS))}, {_STEP_SQL}, {dist("select s from asked", "ssym")},
+{comp("select step*1000000+node_id, step*1000000+node_id from core, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id=core.node_id)", "ssym", "scomp")},
+{_TOLD.replace('{dist}', 'dist')}""")
 def stress_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative removal of the eight nodes of highest degree."""
     core, edges = _core(spark, sf_dir)
@@ -493,6 +483,31 @@ def stress_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.stress_test(core, edges, top, pairs=PAIRS, weight="w")
 
 
+_HEALED = f"""{_CAND}, {_FOREST}, {_MATCH}, more as (select a, b, dist from forest union all select a, b, dist from free join greedy using (n) where took),
+hs as materialized (select a, b, min(w) as w from (select a, b, w from sym union all select a, b, cast(round(1000*dist) as bigint) from more
+  union all select b, a, cast(round(1000*dist) as bigint) from more) group by a, b)"""
+_HEALED_LCC = f"""{comp(sym="hs", name="hcomp")}, sizes as (select v, count(*) n from hcomp group by v),
+core as materialized (select k as node_id from hcomp where v=(select v from sizes order by n desc, v limit 1)),
+core_sym as materialized (select s.* from hs s join core c on s.a=c.node_id)"""
+_DRAWN = _STRESS.split("\nranked as")[0].removeprefix(f"{LCC}, ").rstrip(",").replace("{draws}", str(2 * PAIRS))
+
+
+@query(f"""with recursive {_HEALED}, {_COUNTS.replace(LCC, _HEALED_LCC)}, {_NODE_BC},
+top as materialized (select node_id, row_number() over (order by bc desc, node_id) as r from node_bc qualify r<=8), {_DRAWN}, {_STEP_SQL}, {dist("select s from asked", "ssym", "sdist")},
+{comp("select step*1000000+node_id, step*1000000+node_id from core, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id=core.node_id)", "ssym", "scomp")},
+{_TOLD.replace('{dist}', 'sdist')}""")
+def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative removal of the eight nodes of highest betweenness from the healed graph's largest component."""
+    nodes, edges = _graph(spark, sf_dir)
+    healed, _, _ = heal.heal(nodes, edges, FIXTURE_HEAL)
+    whole = graph.build_graph(healed).withColumn("w", F.round(1000 * F.col("weight")).cast("long"))
+    whole = materialize(whole, "healed")
+    core = materialize(graph.largest_component(nodes, whole), "core")
+    core_edges = materialize(graph.induced(core, whole), "core_edges")
+    top = materialize(paths.gatekeepers(core, materialize(paths.betweenness(core, core_edges, "w")[0], "bc"), 8), "top")
+    return ablation.stress_test(core, core_edges, top, weight="w")
+
+
 @query(f"""with recursive {GRAPH}, {_STRESS.replace("{draws}", str(PAIRS))}, {_STEP_SQL.replace("range(0, 9)", "[0, 3]")}, {dist("select s from asked", "ssym")},
 {comp("select step*1000000+node_id, step*1000000+node_id from core, steps where not exists (select 1 from gone g where g.step=steps.step and g.node_id=core.node_id)", "ssym", "scomp")},
 found as (select steps.step, pair_id, d from steps cross join pairs left join dist on s=steps.step*1000000+src and t=steps.step*1000000+dst
