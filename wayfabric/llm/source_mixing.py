@@ -8,14 +8,15 @@ weight the division has a closed form in running sums, so each level is one wind
 
 A leaf given as many tokens as it holds k times over, and a rest, contributes k whole epochs and
 the rest's prefix of epoch k: the longest prefix, in the order of md5(seed:epoch:id), whose tokens
-sum to at most the rest. The order's first hexadecimal digits deal a leaf's rows into
-buckets; whole buckets are decided by their sums and only the one bucket in which the prefix ends
-is sorted, so a leaf with a large part of all rows is not gathered in one task.
+sum to at most the rest. The order's first hexadecimal digits deal a leaf's rows into 256
+buckets, the next the bucket in which the prefix ends into 256 more; whole buckets are decided by
+their sums and only the last one is sorted, so a leaf with a large part of all rows is not gathered
+in one task.
 
 Null level values are values of their own, null texts hold no tokens, rows with a null id sort by an
 empty id, repeated rows count each. Rows without tokens before the prefix's end are kept. An empty
-table, a zero budget or zero weights select nothing. Extra columns pass through; the added columns
-are ``epoch`` and ``n_tokens``, which replace columns of these names.
+table, a zero budget or zero weights select nothing. Extra columns pass through, whatever their names;
+the added columns are ``n_tokens`` and ``epoch``, with a ``_`` where the table has these names.
 """
 
 from __future__ import annotations
