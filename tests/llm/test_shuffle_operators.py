@@ -74,6 +74,13 @@ def test_embedding_empty_and_null_ids(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in out} == {(None, 1, 5), (5, 1, 5)}
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (5, [1.0, 0.1, 0.0, 0.0], 0), (6, [0.0, 0.0, 1.0, 0.1], 0), (6, [0.0, 0.1, 1.0, 0.1], 0)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == Counter([(1, 1, 1), (5, 1, 1), (1, 2, 1), (6, 2, 1), (6, 2, 1)])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = embedding_dedup.hadamard(x)

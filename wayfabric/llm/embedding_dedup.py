@@ -126,7 +126,10 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows (vid, key or null), classes (cid, label, vec, m, least) of equal label and vector."""
+    """(rows, classes): rows (vid, key or null), classes (cid, label, vec, m, least) of equal label and vector.
+
+    Classes are numbered where they are written, not named by an id, so different vectors under one id stay apart.
+    """
     ok = (
         F.col("vec").isNotNull()
         & (F.size("vec") > 0)
@@ -141,8 +144,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
     grouped = rows.where("key is not null").groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("vid").alias("least"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
-    cid = F.coalesce(F.col("least").cast("long"), F.xxhash64("key"))
-    return rows.select("vid", "key"), grouped.withColumn("cid", cid)
+    return rows.select("vid", "key"), grouped.withColumn("cid", F.monotonically_increasing_id())
 
 
 def with_depth(classes: DataFrame) -> DataFrame:
@@ -158,8 +160,8 @@ def with_depth(classes: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.coalesce("depth", F.lit(1)))
 
 
-def _buckets(classes: DataFrame, tables: int, probes: int) -> DataFrame:
-    """Rows (label key, width, table, code, cid, m, vec, codes[], probes), one per bucket of each class."""
+def _coded(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    """Rows (label, width, cid, m, vec, codes[], probes), one per class; table t holds codes t * probes and on."""
 
     @lean("embedding_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,31 +176,27 @@ def _buckets(classes: DataFrame, tables: int, probes: int) -> DataFrame:
                 for at in range(0, len(rows), 1000):
                     part = rows[at : at + 1000]
                     x = flat[ends[part][:, None] + np.arange(w)]
-                    code = codes(unit_rows(x), depth, tabs, prob).reshape(len(part), -1)
-                    k = code.shape[1]
-                    take = pa.array(np.repeat(part, k))
-                    lists = [np.repeat(x, k, axis=0).ravel(), np.repeat(code, k, axis=0).ravel()]
-                    offsets = [pa.array((np.arange(len(part) * k + 1) * z).astype(np.int32)) for z in (w, k)]
+                    code = codes(unit_rows(x), depth, tabs, prob)
+                    take, n = pa.array(part), len(part)
+                    lists = [pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * z).astype(np.int32)), pa.array(v.ravel())) for z, v in ((w, x), (tabs * prob, code))]
+                    sizes = [pa.array(np.full(n, z, dtype=np.int32)) for z in (w, prob)]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            lab.take(take),
-                            pa.array(np.full(len(part) * k, w, dtype=np.int32)),
-                            pa.array(np.tile(np.repeat(np.arange(tabs), prob), len(part)).astype(np.int32)),
-                            pa.array(code.ravel()),
-                            cid.take(take),
-                            m.take(take),
-                            *(pa.ListArray.from_arrays(o, pa.array(v)) for o, v in zip(offsets, lists, strict=True)),
-                            pa.array(np.full(len(part) * k, prob, dtype=np.int32)),
-                        ],
-                        names=["label", "width", "tab", "code", "cid", "m", "vec", "codes", "probes"],
+                        [lab.take(take), sizes[0], cid.take(take), m.take(take), *lists, sizes[1]],
+                        names=["label", "width", "cid", "m", "vec", "codes", "probes"],
                     )
 
     kind = classes.schema["label"].dataType.simpleString()
     vec = classes.schema["vec"].dataType.simpleString()
-    schema = f"label {kind}, width int, tab int, code long, cid long, m long, vec {vec}, codes array<long>, probes int"
+    schema = f"label {kind}, width int, cid long, m long, vec {vec}, codes array<long>, probes int"
     return with_depth(classes).select("cid", "m", "label", "vec", "depth").mapInArrow(run, schema)
 
 
+def _filed(coded: DataFrame, *columns: str) -> DataFrame:
+    """The ``columns`` of coded classes, once per bucket (label, width, tab, code)."""
+    rows = coded.select("label", "width", "probes", *columns, F.posexplode("codes").alias("at", "code"))
+    return rows.withColumn("tab", F.expr("cast(at div probes as int)")).drop("at")
+
+
 def bucket_links(vec: np.ndarray, code: np.ndarray, tab: int, mine: int, probes: int, threshold: float, cut: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of a bucket that meet here first; with ``cut``, of the first ``cut`` rows with the others."""
     a, b = (vec, vec) if cut is None else (vec[:cut], vec[cut:])
@@ -303,11 +301,11 @@ def near_duplicates(
     """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
     rows, grouped = _classes(vectors, id_col, vec_col, label_col)
     classes = materialize(grouped, "classes")
-    filed = materialize(_buckets(classes, tables, probes), "buckets")
+    coded = materialize(_coded(classes, tables, probes), "coded")
     bucket = ["label", "width", "tab", "code"]
-    counts = filed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = _filed(coded).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = materialize(counts.withColumn("tiles", F.ceil(F.col("n") / block).cast("int")).drop("n"), "counts")
-    full = filed.join(counts, bucket).withColumn("side", F.lit(0))
+    full = _filed(coded, "cid", "m", "vec", "codes").join(counts, bucket).withColumn("side", F.lit(0))
     found = materialize(_solve(full.where("tiles = 1"), threshold, bucket, False), "links")
     if not counts.where("tiles > 1").isEmpty():
         big = full.where("tiles > 1").withColumn("own", F.pmod(F.xxhash64("cid"), "tiles").cast("int"))
