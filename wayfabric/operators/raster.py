@@ -125,15 +125,16 @@ def polyline_segments(lines: DataFrame, keys: list[str], points: str = "points")
     return rows.select(*keys, F.col("p.a.x").alias("x0"), F.col("p.a.y").alias("y0"), F.col("p.b.x").alias("x1"), F.col("p.b.y").alias("y1"))
 
 
-def rasterise_roads(edges: DataFrame, width: int, height: int, line: float = 6) -> tuple[DataFrame, DataFrame]:
+def rasterise_roads(edges: DataFrame, width: int, height: int, line: float = 6, frame: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Longitude/latitude polylines (img_id, geometry) as pixels, with the bounds used per image.
 
-    Spans are floored at 1e-9, coordinates are truncated to pixels, latitude points up.
+    The bounds are those of the polylines, or ``frame`` (img_id, minx, miny, maxx, maxy), such as a raster's own. Spans are floored at 1e-9, coordinates are truncated to pixels, latitude points up.
     """
     vertex = edges.where("geometry is not null").select("img_id", F.explode("geometry").alias("p"))
     bounds = vertex.groupBy("img_id").agg(
         F.min("p.lon").alias("minx"), F.min("p.lat").alias("miny"), F.max("p.lon").alias("maxx"), F.max("p.lat").alias("maxy")
     )
+    bounds = bounds if frame is None else frame.select(*bounds.columns)
     eps = 1e-9
 
     def pixel(p: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -12,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from wayfabric.config import MODES, Settings
 from wayfabric.functions.pixels import is_vegetation, ndvi, road_mask, stretch
 from wayfabric.operators.raster import clean, rasterise_roads
+from wayfabric.scratch import materialize
+from wayfabric.sources.roads import Fetch, download_roads, post
 
 
 def has(library: str) -> bool:
@@ -77,7 +83,7 @@ class _WindowReader(DataSourceReader):
         with rasterio.open(self.path) as f:
             return [InputPartition(y) for y in range(0, f.height, self.rows)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         import rasterio
         from rasterio.windows import Window
 
@@ -85,10 +91,17 @@ class _WindowReader(DataSourceReader):
             y0 = partition.value
             window = Window(0, y0, f.width, min(self.rows, f.height - y0))
             for band in self.bands:
-                data = f.read(min(band, f.count), window=window)
-                for dy, line in enumerate(data):
-                    for x, v in enumerate(line):
-                        yield (0, band, y0 + dy, x, float(v))
+                yield window_rows(f.read(min(band, f.count), window=window), band, y0)
+
+
+def window_rows(data: np.ndarray, band: int, y0: int) -> pa.RecordBatch:
+    """The pixels of a window that starts at row ``y0`` as one batch of (img_id, band, y, x, v)."""
+    h, w = data.shape
+    columns = {
+        "img_id": np.zeros(h * w, dtype=np.int64), "band": np.full(h * w, band, dtype=np.int32), "y": np.repeat(np.arange(y0, y0 + h, dtype=np.int32), w),
+        "x": np.tile(np.arange(w, dtype=np.int32), h), "v": data.astype(np.float64).ravel(),
+    }
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
 def spectral(bands: DataFrame, red: int = 4, green: int = 3, blue: int = 2, nir: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -110,9 +123,9 @@ def read_roads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def road_masks(spark: SparkSession, path: str, cfg: Settings, width: int = 1245, height: int = 636, line: float = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean mask, meta, bounds) of road files."""
-    mask, bounds = rasterise_roads(read_roads(spark, path), width, height, line)
+def road_masks(roads: DataFrame, cfg: Settings, width: int = 1245, height: int = 636, line: float = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean mask, meta, bounds) of road edges."""
+    mask, bounds = rasterise_roads(roads, width, height, line)
     meta = bounds.select("img_id", F.lit(height).alias("h"), F.lit(width).alias("w"))
     return clean(mask, meta, cfg.mask.close_kernel, cfg.mask.min_component), meta, bounds
 
@@ -126,10 +139,11 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]
     return features, name[0] if name else None
 
 
-def resolve(spark: SparkSession, cfg: Settings, path: str | None = None, scorer: Callable | None = None) -> dict:
+def resolve(spark: SparkSession, cfg: Settings, path: str | None = None, scorer: Callable | None = None, fetch: Fetch = post) -> dict:
     """Mask, meta and notes of the configured mode; ValueError for an unknown mode.
 
-    A road file that cannot be read gives way to the synthetic source, and the notes say so.
+    Roads come from the file ``path`` or, without one, from the map servers for the configured area. Where neither
+    gives any, the synthetic source steps in, and the notes say so.
     """
     from wayfabric.operators.tiles import load_scorer, mosaic, score_tiles
     from wayfabric.sources.synthetic import synthetic_mask
@@ -148,11 +162,13 @@ def resolve(spark: SparkSession, cfg: Settings, path: str | None = None, scorer:
         return {"mask": clean(raw, meta, cfg.mask.close_kernel, cfg.mask.min_component), "meta": meta, "region": green, "notes": {"input": "satellite"}}
     if cfg.mode == "osm":
         try:
-            mask, meta, bounds = road_masks(spark, path, cfg)
+            roads = materialize(read_roads(spark, path) if path else download_roads(spark, cfg.area, fetch), "roads")
+            mask, meta, bounds = road_masks(roads, cfg)
             if bounds.isEmpty():
                 raise ValueError("no roads")
-            return {"mask": mask, "meta": meta, "bounds": bounds, "notes": {"input": "osm"}}
-        except Exception as error:  # any failure of the source: the contract is the fallback
+            crossings = roads.select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
+            return {"mask": mask, "meta": meta, "bounds": bounds, "notes": {"input": "osm", "osm_nodes": crossings, "osm_edges": roads.count()}}
+        except (OSError, RuntimeError, ValueError, PySparkException, Py4JError) as error:  # the source failed: the contract is the fallback
             mask, meta = synthetic_mask(spark, cfg)
             return {"mask": mask, "meta": meta, "notes": {"input": "synthetic_fallback", "osm_error": str(error)[:200]}}
     mask, meta = synthetic_mask(spark, cfg)

@@ -91,3 +91,17 @@ def training_pairs(pixels: DataFrame, mask: DataFrame, meta: DataFrame, tile: in
         return pd.DataFrame({"tile_id": [frame["tile_id"].iloc[0]], "size": [tile], "img": [image.tobytes()], "mask": [truth.tobytes()]})
 
     return flagged.groupBy("tile_id").applyInPandas(run, "tile_id long, size int, img binary, mask binary")
+
+
+def raster_pairs(pixels: DataFrame, frame: DataFrame, roads: DataFrame, width: int, height: int, line: float = 3, **tiles: int) -> DataFrame:
+    """Training pairs of a georeferenced image and the roads of its area, drawn in the image's own ``frame`` (img_id and bounds).
+
+    The width of the lines is a fixed value.
+    """
+    from pyspark.sql import functions as F
+
+    from wayfabric.operators.raster import rasterise_roads
+
+    mask, _ = rasterise_roads(roads, width, height, line, frame)
+    meta = frame.select("img_id", F.lit(height).alias("h"), F.lit(width).alias("w"))
+    return training_pairs(pixels, mask, meta, **tiles)
