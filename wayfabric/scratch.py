@@ -1,7 +1,7 @@
 """Shared scratch storage: written tables that cut lineage and survive lost executors.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting
-is absent (tests, a laptop) is a temporary folder made and used.
+is absent and the master is local (tests, a laptop) is a temporary folder made and used.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one if that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; unset, a temporary one on a local master, else RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="wayfabric-")
