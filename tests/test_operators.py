@@ -44,6 +44,33 @@ def union_find(pairs, nodes):
     return {n: root(n) for n in nodes}
 
 
+def test_slanted_lines_have_no_junctions():
+    rng = np.random.default_rng(4)
+    yy, xx = np.mgrid[:90, :140]
+    for _ in range(30):
+        y0, x0, y1, x1 = rng.uniform(15, 75), rng.uniform(15, 125), rng.uniform(15, 75), rng.uniform(15, 125)
+        d = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        t = np.clip(((xx - x0) * (x1 - x0) + (yy - y0) * (y1 - y0)) / d, 0, 1)
+        line = np.pad(skeleton.thin((xx - x0 - t * (x1 - x0)) ** 2 + (yy - y0 - t * (y1 - y0)) ** 2 <= 9), 1).astype(int)
+        count = sum(np.roll(line, (dy, dx), (0, 1)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) - line
+        assert (count[line == 1] <= 2).all() and (count[line == 1] == 1).sum() == (2 if line.sum() > 1 else 0)
+
+
+def test_thinning_keeps_components():
+    def groups(image):
+        at = {tuple(p) for p in np.argwhere(image).tolist()}
+        pairs = [((y, x), (y + dy, x + dx)) for y, x in at for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)) if (y + dy, x + dx) in at]
+        return len(set(union_find(pairs, at).values()))
+
+    rng = np.random.default_rng(0)
+    for k in range(60):
+        image = rng.random((24, 30)) < 0.3 + 0.4 * rng.random()
+        for _ in range(k % 3):
+            image = image | np.roll(image, 1, 0) | np.roll(image, 1, 1)
+        stairs = image & (rng.random(image.shape) < 0.8)
+        assert groups(skeleton.without_stairs(stairs)) == groups(stairs)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_star_components(spark, seed):
     rng = random.Random(seed)

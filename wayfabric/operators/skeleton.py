@@ -15,7 +15,7 @@ from wayfabric.operators.raster import adjacency, pixel_key
 
 
 def thin(image: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning of a boolean image: two conditional deletions in turn until nothing changes."""
+    """Zhang-Suen thinning of a boolean image: two conditional deletions in turn until nothing changes; then staircases go."""
     img = np.pad(image.astype(np.uint8), 1)
     while True:
         changed = False
@@ -35,7 +35,23 @@ def thin(image: np.ndarray) -> np.ndarray:
                 img[1:-1, 1:-1][gone] = 0
                 changed = True
         if not changed:
-            return img[1:-1, 1:-1].astype(bool)
+            return without_stairs(img[1:-1, 1:-1].astype(bool))
+
+
+def without_stairs(skeleton: np.ndarray) -> np.ndarray:
+    """A thinned image without the inner corners of staircases, which would count as junctions (Holt et al., 1987).
+
+    A corner goes whose two sides touch each other diagonally, those below an upper side first, then those
+    above a lower one; what it joined stays joined.
+    """
+    img = np.pad(skeleton, 1)
+    for up, down in ((slice(0, -2), slice(2, None)), (slice(2, None), slice(0, -2))):
+        mid, left, right = slice(1, -1), slice(0, -2), slice(2, None)
+        north, south, east, west = img[up, mid], img[down, mid], img[mid, right], img[mid, left]
+        to_east = east & ~img[up, right] & ~img[down, left] & (~west | ~south)
+        to_west = west & ~img[up, left] & ~img[down, right] & (~east | ~south)
+        img[mid, mid] &= ~(north & (to_east | to_west))
+    return img[1:-1, 1:-1]
 
 
 def skeletonize(mask: DataFrame) -> DataFrame:
