@@ -189,3 +189,15 @@ def test_long_matchings_agree(spark):
     one, many = (heal.stub_matching(found, none, limit).select("a", "b").collect() for limit in (100, 0))
     assert sorted(one) == sorted(many) and len(one) == 30
     assert HealSettings().max_gap == 45.0 and found.select(F.count(F.lit(1))).first()[0] == 60
+
+
+def test_synthetic_run_identities(spark):
+    from wayfabric.queries import QUERIES
+
+    rows = QUERIES["synthetic_run"](spark, "").collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r["num_components_before"] - r["bridges_mst"] == r["num_components_after"]
+    assert r["bridges_added"] == r["bridges_mst"] + r["bridges_stub_repair"] and r["lcc_after_heal"] >= r["lcc_before_heal"]
+    assert abs(r["dice"] - 2 * r["iou"] / (1 + r["iou"])) < 2e-4 and r["iou"] > 0.8 and r["relaxed_iou"] >= r["iou"]
+    assert r["step"] == 8 and 0 < r["resilience_index"] <= 1.2 and 0 < r["lcc_frac"] <= 1

@@ -678,6 +678,17 @@ def resilience_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.report({k: out[k] for k in ("healing", "connectivity", "gatekeepers", "steps")}, {"input": "fixture"})
 
 
+@query()
+def synthetic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan on the synthetic source with all defaults: one row of connectivity, healing, scores and the last step."""
+    from wayfabric.config import Settings
+    from wayfabric.plans.resilience import run
+
+    out = run(spark, Settings(mode="synth"))
+    last = out["steps"].orderBy(F.desc("step")).limit(1).drop("removed_node")
+    return out["connectivity"].join(out["healing"]).join(out["segmentation"].drop("img_id")).join(last)  # single rows
+
+
 @query()
 def synthetic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The synthetic road grid, rasterised at its default size."""
