@@ -193,6 +193,40 @@ def test_large_graph_forms_agree(spark):
         assert one == two
 
 
+@pytest.mark.parametrize("limit", [paths.BROADCAST_EDGES, 0])
+def test_searches_stay_in_tasks(spark, monkeypatch, limit):
+    def rounds(*_):
+        raise AssertionError("a graph that fits a task went through DataFrame rounds")
+
+    monkeypatch.setattr(paths, "relax", rounds)
+    rows = [*random_graph(8, 40, 70), (100, 101, 0), (101, 102, 7), (102, 102, 3)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight long")
+    nodes = sorted({x for r in rows for x in r[:2]})
+
+    def brute(gone):
+        best = {(x, x): 0 for x in [*nodes, 999] if x not in gone}
+        steps = [r for a, b, w in rows for r in ((a, b, w), (b, a, w)) if not {a, b} & set(gone)]
+        for _ in nodes:
+            for (s, v), d in list(best.items()):
+                for a, b, w in steps:
+                    if a == v and d + w < best.get((s, b), 1 << 60):
+                        best[s, b] = d + w
+        return best
+
+    sources = spark.createDataFrame([(x,) for x in [*nodes, 999, 5]], "src long")
+    found = paths.distances(edges, sources, limit=limit).collect()
+    whole = brute([])
+    assert len(found) == len(whole) and {(r["src"], r["dst"]): r["dist"] for r in found} == whole
+    sums = {r["src"]: (r["total"], r["n"]) for r in paths.distance_sums(edges, sources, limit=limit).collect()}
+    assert sums == {x: (sum(d for (s, t), d in whole.items() if s == x < t), sum(s == x < t for s, t in whole)) for x in [*nodes, 999]}
+    closed = {1: [nodes[3]], 2: [nodes[3], nodes[7], 12345]}
+    asked = [(k, s, t) for k in range(3) for s in [*nodes[:12], 999] for t in [*nodes[5:], 999]]
+    pairs = spark.createDataFrame(asked, "step int, src long, dst long")
+    got = {(r["step"], r["src"], r["dst"]): r["dist"] for r in paths.pair_distances(edges, pairs, closed=closed, limit=limit).collect()}
+    want = {k: brute(closed.get(k, [])) for k in range(3)}
+    assert got == {(k, s, t): want[k][s, t] for k, s, t in asked if (s, t) in want[k] and s not in closed.get(k, [])}
+
+
 def test_two_node_graph_has_no_betweenness(spark):
     node_bc, edge_bc = paths.betweenness(spark.range(2).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0, 1, 5)], "a long, b long, weight long"))
     assert {r["bc"] for r in node_bc.collect()} == {0.0} and edge_bc.first()["bc"] == 1.0
