@@ -69,6 +69,17 @@ def test_classifier_defined_cases(spark, awkward, nothing):
     assert quality_classifier.classify(nothing, model).count() == 0
 
 
+def test_classifier_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 2, 25_000).tolist()
+    docs = spark.createDataFrame([(i, "good plain words here" if k else "BAD # | WORDS") for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int")
+    mean = np.mean([quality_classifier.features("good plain words here" if k else "BAD # | WORDS") for k in kinds], axis=0)
+    model = quality_classifier.learn(docs, labels)
+    assert np.allclose(model.mid, mean, atol=1e-12)  # a mean over fewer rows differs
+    assert quality_classifier.classify(docs, model).join(labels, "doc_id").where("predicted <> quality").count() == 0
+
+
 def test_pairs_rank_the_preferred_higher():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
