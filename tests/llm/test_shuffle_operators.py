@@ -275,6 +275,20 @@ def near_copies(seed, n=90):
     return rows
 
 
+def test_ngram_survivors_are_asked_again(spark, tmp_path, monkeypatch):
+    """Classes that met only classes that are done with are done with too; linked ones stay."""
+    monkeypatch.setattr(ngram_join, "AGAIN", 0)
+    rows = [(k, 20, [100 * k + i for i in range(2)] + [100 * (k + 1), 100 * (k + 1) + 1] + [9000 + k]) for k in range(1, 12)]
+    rows = [(0, 20, [100, 7000]), *rows, (20, 20, [1, 2, 3]), (21, 20, [1, 2, 4])]  # 0 shares one n-gram only, 20 and 21 two
+    spark.createDataFrame(rows, "cid long, n long, prefix array<long>").repartition(1).write.parquet(str(tmp_path / "listed"))
+    monkeypatch.setattr(ngram_join, "_postings", lambda c: c.selectExpr("explode(prefix) as g", "n", "cid").coalesce(1).sortWithinPartitions("g", "n", "cid"))
+    passes, ask = [], ngram_join._survivors
+    monkeypatch.setattr(ngram_join, "_survivors", lambda c, p: passes.append(1) or ask(c, p))
+    left = {r["cid"] for r in ngram_join._linkable(spark, str(tmp_path / "listed"), 85).collect()}
+    assert {20, 21} <= left
+    assert len(passes) > 1
+
+
 @pytest.mark.parametrize(("block", "frequent"), [(1200, 1000), (6, 0)])
 def test_ngram_components(spark, block, frequent):
     rows = near_copies(block)

@@ -6,11 +6,13 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wayfabric.config import HealSettings, Settings, area_bounds
 from wayfabric.functions import pixels, stencil
 from wayfabric.operators import ablation, graph, heal, paths, raster, skeleton
+from wayfabric.operators import components as components_module
 from wayfabric.operators.components import components, components_of_edges
 from wayfabric.operators.spatial_join import nearest
 from wayfabric.plans import export
@@ -84,6 +86,17 @@ def test_star_components(spark, seed):
     assert small == large == union_find(pairs, range(240))
 
 
+def test_small_components_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(4000), rng.randrange(4000)) for _ in range(2500)] + [(i, i + 1) for i in range(5000, 8000)] + [(9000, 9000)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    want = union_find(pairs, {x for p in pairs for x in p})
+    assert {r["node"]: r["component"] for r in components_of_edges(df, one_task=0).collect()} == want
+    monkeypatch.setattr(components_module, "CHUNK", 100)
+    monkeypatch.setattr(components_module, "_star", None)  # the rounds
+    assert {r["node"]: r["component"] for r in components_of_edges(df).collect()} == want
+
+
 def test_components_of_nothing(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert components_of_edges(none).count() == 0
