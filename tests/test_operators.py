@@ -240,6 +240,45 @@ def test_searches_stay_in_tasks(spark, monkeypatch, limit):
     assert got == {(k, s, t): want[k][s, t] for k, s, t in asked if (s, t) in want[k] and s not in closed.get(k, [])}
 
 
+def test_blocks_hold_each_edge_once(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(min(x)), int(max(x))) for x in rng.choice(10_000, (900, 2)) if x[0] != x[1]}
+    rows = [(b, a, 3 * a + b) if a % 2 else (a, b, 3 * a + b) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(rows, "a long, b long, w long")
+    found = paths.neighbour_blocks(df).toPandas()
+    blocks = [
+        (np.frombuffer(r.heads, np.int64), np.frombuffer(r.many, np.int64), np.frombuffer(r.near, r.near_kind), np.frombuffer(r.w, r.w_kind)) for r in found.itertuples()
+    ]
+    assert sum(len(b[2]) for b in blocks) == len(rows)
+    one, two = paths.Adjacency.of_blocks(blocks, np.dtype("int64")), paths.Adjacency.of_edges(df.toPandas())
+    ends = [sorted(zip(g.ids[np.repeat(np.arange(len(g.ids)), g.degree)].tolist(), g.ids[g.dst].tolist(), g.weight.tolist(), strict=True)) for g in (one, two)]
+    assert ends[0] == ends[1] and len(ends[0]) == 2 * len(rows)
+
+
+@pytest.mark.parametrize("held", [4_000_000, 40])
+def test_edge_sums_are_handed_on_once_per_task(spark, monkeypatch, held):
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), int(w) + 1) for a, b, w in rng.integers(0, 40, (150, 3)) if a != b]
+    edges = graph.build_graph(spark.createDataFrame(rows, "a long, b long, length long")).select("a", "b", "weight")
+    whole = edges.toPandas()
+    monkeypatch.setattr(paths, "TILE", 40)  # one source a tile
+    sources = spark.range(40).withColumnRenamed("id", "src")
+    g = paths.Adjacency.of_edges(whole.rename(columns={"weight": "w"}))
+    monkeypatch.setattr(paths, "HELD", held)
+    monkeypatch.setattr(paths, "on_graph", lambda e, w, src, run, *_: list(run(g, iter([pd.DataFrame({"src": g.ids})]))))
+    found = pd.concat(paths._search(edges, sources, "weight", 0))
+    sums = found[found["b"].notna()]
+    if held > 40:
+        assert len(sums) <= len(whole)
+    want = {}
+    for place, dist in zip(range(len(g.ids)), g.distances(np.arange(len(g.ids))), strict=True):
+        _, a, b, d = g.dependencies(place, dist)
+        for x, y, v in zip(g.ids[a].tolist(), g.ids[b].tolist(), d.tolist(), strict=True):
+            want[min(x, y), max(x, y)] = want.get((min(x, y), max(x, y)), 0) + v
+    got = sums.groupby(["a", "b"])["d"].sum()
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_two_node_graph_has_no_betweenness(spark):
     node_bc, edge_bc = paths.betweenness(spark.range(2).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0, 1, 5)], "a long, b long, weight long"))
     assert {r["bc"] for r in node_bc.collect()} == {0.0} and edge_bc.first()["bc"] == 1.0
