@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,65 @@ def test_searches_stay_in_tasks(spark, monkeypatch, limit):
     assert got == {(k, s, t): want[k][s, t] for k, s, t in asked if (s, t) in want[k] and s not in closed.get(k, [])}
 
 
+@pytest.mark.parametrize("real", [False, True])
+def test_led_searches_equal_whole_ones(real):
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 60, (300, 2))
+    rows = [(i, j) for i in range(300) for j in range(i) if np.abs(at[i] - at[j]).max() <= 5 and (i % 7 or j % 5)]
+    w = [float(np.hypot(*(at[i] - at[j]))) if real else int(round(10 * np.hypot(*(at[i] - at[j])))) for i, j in rows]
+    rows, w = [*rows, (500, 501), (501, 502)], [*w, 3, 4]
+    g = paths.Adjacency.of_edges(pd.DataFrame({"a": [r[0] for r in rows], "b": [r[1] for r in rows], "w": w}))
+    n = len(g.ids)
+    src, dst = rng.integers(0, n, (2, 80))
+    src[:3], dst[:3] = g.places([500, 500, 7]), g.places([502, 7, 7])
+    closed = [rng.choice(n, k % 40, replace=False) for k in range(80)]
+    for count in (0, 4):
+        marks = g.marks(0, count)
+        for shut in (None, closed):
+            found, ways = g.between(src, dst, marks, shut)
+            want = g.distances(src, shut)[np.arange(80), dst]
+            assert np.array_equal(found, want)
+            length = {(int(a), int(g.dst[k])): g.weight[k] for a in range(n) for k in range(g.start[a], g.start[a + 1])}
+            for k, way in enumerate(ways):
+                if way is None:  # no length, or a sum of floats in another order
+                    continue
+                if found[k] == g.far:
+                    assert not len(way)
+                else:
+                    assert way[0] == dst[k] and way[-1] == src[k]
+                    assert sum(length[int(a), int(b)] for a, b in pairwise(way)) == pytest.approx(found[k])
+                    assert shut is None or not np.isin(way, shut[k]).any()
+        assert sum(way is None for way in ways) < 20
+
+
+@pytest.mark.parametrize("limit", [paths.BROADCAST_EDGES, 0])
+def test_steps_search_anew_only_where_they_cut_the_path(spark, monkeypatch, limit):
+    rows = [(i, i + 1, 1) for i in range(40)] + [(3, 6, 9)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight long")
+    pairs = spark.createDataFrame([(k, s, s + 10) for k in range(4) for s in range(20)] + [(0, 77, 77)], "step int, src long, dst long")
+    closed = {1: [35], 2: [35, 4], 3: [35, 4, 25]}
+    got = {(r["step"], r["src"]): r["dist"] for r in paths.pair_distances(edges, pairs, closed=closed, limit=limit).collect()}
+    want = {}
+    for k in range(4):
+        for s in range(20):
+            gone = set(closed.get(k, []))
+            if s in gone or s + 10 in gone or (25 in gone and s < 25 < s + 10):
+                continue
+            if 4 in gone and s < 4 < s + 10:
+                if s <= 3 and s + 10 >= 6:
+                    want[k, s] = 10 + 9 - 3
+                continue
+            want[k, s] = 10
+    assert got == want | {(0, 77): 0}
+    calls, between = [], paths.Adjacency.between
+    monkeypatch.setattr(paths.Adjacency, "between", lambda self, s, *a: calls.append(len(s)) or between(self, s, *a))
+    g = paths.Adjacency.of_edges(pd.DataFrame(rows, columns=["a", "b", "w"]))
+    shut = {k: g.places(v) for k, v in closed.items()}
+    found = paths._led(g, [(int(g.places([s])[0]), int(g.places([s + 10])[0]), [0, 1, 2, 3]) for s in range(20)], shut, g.marks(0, 2))
+    assert {(k, s): d for k, s, _, d in found} == want
+    assert sum(calls) < 40  # 80 if every step were searched
+
+
 def test_blocks_hold_each_edge_once(spark):
     rng = np.random.default_rng(8)
     pairs = {(int(min(x)), int(max(x))) for x in rng.choice(10_000, (900, 2)) if x[0] != x[1]}
