@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import tracemalloc
 from itertools import pairwise
 
 import numpy as np
@@ -300,6 +301,60 @@ def test_steps_search_anew_only_where_they_cut_the_path(spark, monkeypatch, limi
     assert sum(calls) < 40  # 80 if every step were searched
 
 
+def test_dependencies_look_at_some_edges_at_a_time():
+    rng = np.random.default_rng(2)
+    a, b = np.triu_indices(1500, 1)
+    g = paths.Adjacency.of_edges(pd.DataFrame({"a": a, "b": b, "w": rng.integers(1, 60_000, len(a))}))
+    dist = g.distances(np.array([3]))[0]
+    on = np.flatnonzero(np.repeat(dist, g.degree) + g.weight == dist[g.dst])
+    tracemalloc.start()
+    _, u, v, _ = g.dependencies(3, dist)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted(zip((np.searchsorted(g.start, on, side="right") - 1).tolist(), g.dst[on].tolist(), strict=True))
+    assert peak < 30e6  # three times 18 MB where all edges are looked at at once
+
+
+@pytest.mark.parametrize("limit", [paths.BROADCAST_EDGES, 0])
+def test_sampled_betweenness_by_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(paths, "STEPS", 7)
+    rows = random_graph(5)
+    edges, nodes = spark.createDataFrame(rows, "a long, b long, weight long"), spark.range(24).withColumnRenamed("id", "node_id")
+    steps = [r for a, b, w in rows for r in ((a, b, w), (b, a, w))]
+
+    def ways(s):
+        dist, count = {s: 0}, {s: 1}
+        for _ in range(24):
+            for a, b, w in steps:
+                if a in dist and dist[a] + w < dist.get(b, 1 << 60):
+                    dist[b] = dist[a] + w
+        for t in sorted(dist, key=dist.get)[1:]:
+            count[t] = sum(count[a] for a, b, w in steps if b == t and a in dist and dist[a] + w == dist[t])
+        return dist, count
+
+    all_ways = {s: ways(s) for s in range(24)}
+    want = dict.fromkeys(range(24), 0.0)
+    for s in (r["src"] for r in paths.sample_sources(nodes, 6).collect()):
+        dist, count = all_ways[s]
+        for v in set(dist) - {s}:
+            far, more = all_ways[v]
+            want[v] += sum(count[v] * more[t] / count[t] for t in set(dist) - {s, v} if dist[v] + far[t] == dist[t])
+    got = {r["node_id"]: r["bc"] for r in paths.betweenness(nodes, edges, k=6, limit=limit)[0].collect()}
+    assert got == pytest.approx({v: x * 24 / 6 / (23 * 22) for v, x in want.items()})
+
+
+def test_every_task_gets_its_share_of_the_sources(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1) for i in range(50)], "a long, b long, weight long")
+    sources = spark.range(50).withColumnRenamed("id", "src").coalesce(1)
+
+    def run(g, frames):
+        yield pd.DataFrame({"n": [sum(len(f) for f in frames)], "size": [len(g.dst)]})
+
+    got = [(r["n"], r["size"]) for r in paths.on_graph(edges, "weight", sources, run, "n long, size long", 0).collect()]
+    tasks = spark.sparkContext.defaultParallelism
+    assert len(got) == tasks and sum(n for n, _ in got) == 50 and max(n for n, _ in got) <= -(-50 // tasks) and {size for _, size in got} == {100}
+
+
 def test_blocks_hold_each_edge_once(spark):
     rng = np.random.default_rng(8)
     pairs = {(int(min(x)), int(max(x))) for x in rng.choice(10_000, (900, 2)) if x[0] != x[1]}
