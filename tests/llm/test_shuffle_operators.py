@@ -297,6 +297,28 @@ def test_ngram_components(spark, block, frequent):
     assert sorted((r["did"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows, 3, 80))
 
 
+def passage_chain(n, every):
+    """Texts that each share a passage with the next, so that they chain without links, and near copies of some."""
+    word = lambda *x: "w" + "_".join(map(str, x))
+    texts = [[*(word(i, k) for k in range(40)), *(word("own", i, k) for k in range(20)), *(word(i + 1, k) for k in range(40))] for i in range(n)]
+    texts += [[*t[:50], "changed", *t[51:]] for t in texts[::every]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_chained_texts_that_do_not_link_are_not_multiplied(spark, monkeypatch):
+    """A large block of them ships fewer sets than there are classes, instead of every set to every tile."""
+    rows, shipped, solve = passage_chain(60, 10), [], ngram_join._block_edges
+
+    def counted(sets, percent, keys, two_sided=False):
+        shipped.append(sets.count() if two_sided else 0)
+        return solve(sets, percent, keys, two_sided)
+
+    monkeypatch.setattr(ngram_join, "_block_edges", counted)
+    out = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, block=4).collect()
+    assert sorted((r["did"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows, 4, 85))
+    assert sum(shipped) <= len(rows)
+
+
 def test_ngram_awkward_rows(awkward, awkward_rows, nothing):
     out = ngram_join.join_components(awkward.withColumn("n", F.lit(1)), 4, 85).collect()
     want = Counter(brute_components(awkward_rows, 4, 85))
