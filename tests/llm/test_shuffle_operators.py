@@ -300,7 +300,7 @@ def test_ngram_components(spark, block, frequent):
 def passage_chain(n, every):
     """Texts that each share a passage with the next, so that they chain without links, and near copies of some."""
     word = lambda *x: "w" + "_".join(map(str, x))
-    texts = [[*(word(i, k) for k in range(40)), *(word("own", i, k) for k in range(20)), *(word(i + 1, k) for k in range(40))] for i in range(n)]
+    texts = [[*(word(i, k) for k in range(30)), *(word("own", i, k) for k in range(40)), *(word(i + 1, k) for k in range(30))] for i in range(n)]
     texts += [[*t[:50], "changed", *t[51:]] for t in texts[::every]]
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
@@ -314,7 +314,7 @@ def test_chained_texts_that_do_not_link_are_not_multiplied(spark, monkeypatch):
         return solve(sets, percent, keys, two_sided)
 
     monkeypatch.setattr(ngram_join, "_block_edges", counted)
-    out = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, block=4).collect()
+    out = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, block=4, frequent=0).collect()
     assert sorted((r["did"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows, 4, 85))
     assert sum(shipped) <= len(rows)
 
